@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,9 +15,12 @@ from pyspark.sql import types as T
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests) a folder is made.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests) a folder is made. What earlier
+    cuts have made unreachable is let go of first, so that their shuffle files don't wait on disk for a collection.
     """
     sc = df.sparkSession.sparkContext
+    gc.collect()
+    sc._jvm.System.gc()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
