@@ -1,6 +1,6 @@
 """Words, hashes and n-grams of many texts at once, as flat numpy arrays over the UTF-8 bytes.
 
-A batch is walked in chunks of about two megabytes of text (a longer text is a chunk of its own), so memory stays
+A batch is walked in chunks of about a megabyte of text (a longer text is a chunk of its own), so memory stays
 bounded by the longest text whatever the batch holds. Hashes are 64 bits: a polynomial over a random byte table,
 finished with a multiply-xorshift mix.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _rng = np.random.default_rng(20240917)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -15,8 +15,6 @@ result. Columns named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import hashlib
 import numpy as np
 import pyarrow as pa
@@ -25,11 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import append, table
-from ._text import chunks
+from ._text import CHUNK, chunks
 
 MARK = "▁"
-#: Units whose encoding a Python worker keeps; when there are more it starts anew, which costs time only.
-MAX_KEPT_UNITS = 400_000
+SLOT_BITS = 21
 _NEVER = np.int64(1 << 40)
 
 
@@ -68,39 +65,78 @@ class Vocabulary:
         self.keys, self.ranks, self.made = (np.array([x[k] for x in pairs], np.int64) for k in range(3))
         self.at_once = np.zeros(len(model.pieces), bool)
         self.at_once[[k for k, ok in alone.items() if ok]] = True
+        # a slot for each hashed pair; where several meet, the sorted keys are searched
+        slots = self._slot(self.keys)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[slots] = np.arange(len(pairs))
+        self.shared = np.zeros(1 << SLOT_BITS, bool)
+        self.shared[slots[self.slots[slots] != np.arange(len(pairs))]] = True
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for ch, k in self.chars.items():
+            self.char_id[ord(ch)] = k
+        self.decimal = [str(k).encode() + b"," for k in range(len(model.pieces))]
+        self.decimal_flat, self.plain_flat = _Flat(self.decimal), _Flat(self.plain)
 
-
-def merge(v: Vocabulary, units: list[str]) -> list[list[int]]:
-    """The ids of each unit, by merge rounds over all units at once."""
-    # Characters without a piece get ids below 0, which no pair has.
-    strange: list[str] = []
-    codes: dict[str, int] = {}
-    for ch in set("".join(units)):
-        if ch in v.chars:
-            codes[ch] = v.chars[ch]
-        else:
-            strange.append(ch)
-            codes[ch] = -len(strange)
-    symbols = np.array([codes[ch] for u in units for ch in u], np.int64)
-    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, id of the merged piece) of each pair of symbols; rank NEVER where they make no piece."""
+        key = left << 32 | right
+        slot = self._slot(key)
+        at = self.slots[slot].astype(np.int64)
+        found = self.keys[at] == key
+        again = np.flatnonzero(~found & self.shared[slot])
+        if len(again):
+            other = np.minimum(np.searchsorted(self.keys, key[again]), len(self.keys) - 1)
+            at[again] = other
+            found[again] = self.keys[other] == key[again]
+        found &= (left >= 0) & (right >= 0)
+        return np.where(found, self.ranks[at], _NEVER), self.made[at]
+
+
+class _Flat:
+    """Byte strings of ids side by side, to be gathered for many ids at once."""
+
+    def __init__(self, parts: list[bytes]):
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(p) for p in parts])
+        self.start = np.cumsum(self.size) - self.size
+
+    def gather(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The joined strings of ids[at[k]:at[k + 1]] for each k."""
+        n = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = self.data[np.arange(total[-1]) + np.repeat(self.start[ids] - total[:-1], n)].tobytes()
+        ends = total[at].tolist()
+        return [out[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def merge(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offset of each unit) by merge rounds over all units at once."""
+    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+    symbols = v.char_id[points].astype(np.int64)
+    strange = symbols < 0  # characters without a piece stay below 0, which no pair has
+    symbols[strange] = -1 - points[strange]
+    owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
+    n = len(symbols)
+    rank, made = np.full(n, _NEVER), np.zeros(n, np.int64)
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
+    rank[inner], made[inner] = v.pair(symbols[inner], symbols[inner + 1])
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(symbols) > 1:
-        key = symbols[:-1] << 32 | symbols[1:]
-        pair = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        rank = np.where((v.keys[pair] == key) & (owner[:-1] == owner[1:]) & (symbols[:-1] >= 0) & (symbols[1:] >= 0), v.ranks[pair], _NEVER)
+    while len(symbols):
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        least = np.minimum.reduceat(np.append(rank, _NEVER), starts)
-        sizes = np.diff(np.append(starts, len(owner)))
-        over = np.repeat(least == _NEVER, sizes)
+        least = np.minimum.reduceat(rank, starts)
+        wide = np.repeat(least, np.diff(np.append(starts, len(owner))))
+        over = wide == _NEVER
         if over.any():  # units without a pair leave
             done.append((owner[over], symbols[over]))
-            symbols, owner = symbols[~over], owner[~over]
-            if len(done[-1][0]) == len(over):
-                break
+            stay = ~over
+            symbols, owner, rank, made, wide = symbols[stay], owner[stay], rank[stay], made[stay], wide[stay]
             if not len(symbols):
                 break
-            continue
-        hit = np.flatnonzero(rank == np.repeat(least, sizes)[:-1])
+        hit = np.flatnonzero(rank == wide)
         unit = owner[hit]
         fresh = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (unit[1:] != unit[:-1])])
         run = np.flatnonzero(fresh)
@@ -108,46 +144,45 @@ def merge(v: Vocabulary, units: list[str]) -> list[list[int]]:
         first = np.concatenate([[True], unit[1:] != unit[:-1]])
         # a unit any of whose hits makes a piece that may be extended at once takes its leftmost hit alone
         careful = np.zeros(len(units), bool)
-        careful[unit[~v.at_once[v.made[pair[hit]]]]] = True
+        careful[unit[~v.at_once[made[hit]]]] = True
         hit = hit[even & (first | ~careful[unit])]
-        symbols[hit] = v.made[pair[hit]]
+        symbols[hit] = made[hit]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols, owner = symbols[keep], owner[keep]
-    if len(symbols):
-        done.append((owner, symbols))
-    out: list[list[int]] = [[] for _ in units]
+        symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+        # only pairs beside a merge change
+        at = hit - np.arange(len(hit))
+        at = np.concatenate([at, at - 1])  # some twice, which costs less than telling
+        at = at[at >= 0]
+        rank[at] = _NEVER
+        at = at[at + 1 < len(symbols)]
+        at = at[owner[at] == owner[at + 1]]
+        rank[at], made[at] = v.pair(symbols[at], symbols[at + 1])
     if not done:
-        return out
+        return np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
     owner, symbols = (np.concatenate([d[k] for d in done]) for k in range(2))
     order = np.argsort(owner, kind="stable")
-    symbols, at = symbols[order], np.searchsorted(owner[order], np.arange(len(units) + 1))
-    plain, at = symbols.tolist(), at.tolist()
-    for k in range(len(units)):
-        ids = plain[at[k] : at[k + 1]]
-        out[k] = ids if min(ids, default=0) >= 0 else [i for s in ids for i in ([s] if s >= 0 else [v.bytes[x] for x in strange[-s - 1].encode()])]
-    return out
+    owner, symbols = owner[order], symbols[order]
+    odd = np.flatnonzero(symbols < 0)
+    if len(odd):  # characters without a piece, as their bytes' pieces
+        which, back = np.unique(symbols[odd], return_inverse=True)
+        parts = [[v.bytes[x] for x in chr(-1 - int(c)).encode()] for c in which]
+        size = np.ones(len(symbols), np.int64)
+        size[odd] = np.array([len(p) for p in parts])[back]
+        starts = np.cumsum(size) - size
+        out = np.repeat(symbols, size)
+        for k in range(4):
+            has = np.array([len(p) > k for p in parts])[back]
+            out[starts[odd[has]] + k] = np.array([p[k] if len(p) > k else 0 for p in parts])[back[has]]
+        owner, symbols = np.repeat(owner, size), out
+    return symbols, np.searchsorted(owner, np.arange(len(units) + 1))
 
 
 class Codec:
-    """Encoder and decoder of one Python worker; distinct units are kept with their ids and decimal form."""
+    """Encoder and decoder over a vocabulary. Nothing is kept between calls but the vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.ids: dict[str, list[int]] = {}
-        self.decimal: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def learn(self, units: Iterable[str]) -> None:
-        new = [u for u in set(units) if u not in self.ids]
-        if len(self.ids) + len(new) > MAX_KEPT_UNITS:
-            for kept in (self.ids, self.decimal, self.plain):
-                kept.clear()
-            new = list(set(units))
-        for u, ids in zip(new, merge(self.v, new), strict=True):
-            self.ids[u] = ids
-            self.decimal[u] = ",".join(map(str, ids)).encode()
-            self.plain[u] = b"".join([self.v.plain[i] for i in ids])
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -167,15 +202,31 @@ class Codec:
             out.append(run)
         return out
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offset of each text); each distinct unit is merged once."""
+        index: dict[str, int] = {}
+        use, sizes = [], []
+        for t in texts:
+            units = self.units(t)
+            sizes.append(len(units))
+            use += [index.setdefault(u, len(index)) for u in units]
+        ids, at = merge(self.v, list(index))
+        use = np.array(use, np.int64)
+        n = np.diff(at)[use] if len(use) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.arange(total[-1]) + np.repeat(at[use] - total[:-1], n)] if len(use) else ids[:0]
+        return out, total[np.concatenate([[0], np.cumsum(sizes)])]
+
     def encode(self, text: str) -> list[int]:
-        units = self.units(text)
-        self.learn(units)
-        return [i for u in units for i in self.ids[u]]
+        return self.encode_all([text])[0].tolist()
+
+    def plain(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The decoded bytes of each text: pieces joined, marks as blanks, without the dummy prefix."""
+        return [p[1:] if p[:1] == b" " else p for p in self.v.plain_flat.gather(ids, at)]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, marks as blanks, without the dummy prefix; broken byte runs as U+FFFD."""
-        plain = b"".join([self.v.plain[i] for i in ids])
-        return plain.decode("utf-8", "replace").removeprefix(" ")
+        """The text of ids; broken byte runs as U+FFFD."""
+        return self.plain(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -197,18 +248,14 @@ def tokenize(docs: DataFrame, model_file: str, text: str = "text", ids: bool = T
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         c = codec(model_file)
         n, encoded, decoded, lists = [], [], [], []
-        for part in chunks(b.column(text)):
-            rows = [c.units(t or "") for t in b.column(text).slice(part.lo, part.hi - part.lo).to_pylist()]
-            c.learn([u for r in rows for u in r])
-            count = {u: len(c.ids[u]) for r in rows for u in r}
-            for r in rows:
-                n.append(sum([count[u] for u in r]))
-                encoded.append(hashlib.sha256(b",".join([c.decimal[u] for u in r])).hexdigest())
-                plain = b"".join([c.plain[u] for u in r])
-                decoded.append(hashlib.sha256(plain[1:] if plain[:1] == b" " else plain).hexdigest())
-                if ids:
-                    lists.append([i for u in r for i in c.ids[u]])
-        return [pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())] + ([pa.array(lists, pa.list_(pa.int32()))] if ids else [])
+        for part in chunks(b.column(text), 2 * CHUNK):  # larger chunks share more units
+            found, at = c.encode_all([t or "" for t in b.column(text).slice(part.lo, part.hi - part.lo).to_pylist()])
+            n += np.diff(at).tolist()
+            encoded += [hashlib.sha256(x[:-1]).hexdigest() for x in c.v.decimal_flat.gather(found, at)]
+            decoded += [hashlib.sha256(x).hexdigest() for x in c.plain(found, at)]
+            if ids:
+                lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32())))
+        return [pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())] + ([pa.concat_arrays(lists)] if ids else [])
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     return append(docs, make, fields + ([("ids", T.ArrayType(T.IntegerType()))] if ids else []), drop)
