@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 from .grammar import Grammar, load
 from .regex import Automaton
+from .scanner import FRAMES, Memory, Scanner
 from .tables import ACCEPT, REDUCE, SHIFT, Tables, build
 
 #: Readings that are followed at once.
 MAX_READINGS = 64
+#: Rings that a text keeps; beyond them every second one goes.
+MOST_RINGS = 256
 #: Repair ends once more of a text is skipped than this share of it.
 MOST_SKIPPED = 0.75
-MENDS = ("none", "keep", "fell")
+#: Stop; drop the token and go on; also fell the stack into roots and begin anew; drop one token, then fell.
+MENDS = ("none", "keep", "fell", "relent")
 
 
 class Node:
@@ -52,6 +58,11 @@ class Tree:
     supplied: int = 0
     spurned: int = 0
     scars: list[Scar] = field(default_factory=list)
+    #: Roots of stacks that repair has felled, in order.
+    felled: list[Node] = field(default_factory=list)
+
+    def copy(self) -> Tree:
+        return replace(self, scars=list(self.scars), felled=list(self.felled))
 
 
 class Head:
@@ -70,6 +81,19 @@ class Head:
         return tuple(out)
 
 
+class Ring(NamedTuple):
+    """A place between two tokens from which a parse can go on. Heads share their stacks, so a ring is small."""
+
+    at: int
+    #: The first character that nothing before this place has looked at.
+    reach: int
+    heads: list[Head]
+    loose: bool
+    shifted: int
+    tree: Tree
+    broken: bool
+
+
 class Parser:
     """A compiled grammar. It pickles as its source and compiles once in a process."""
 
@@ -90,6 +114,8 @@ class Parser:
             standing = 0 if k in g.extras else (5 if t.kind == "literal" else 3) + t.immediate
             self._rank[k] = (t.prec, standing)
         self._permits: dict = {}
+        book = (json.loads(source) if isinstance(source, str) else source).get("scanner")
+        self.scanner = Scanner(book, {t.name: k for k, t in enumerate(self.grammar.terminals) if k}) if book else None
 
     @classmethod
     def of(cls, source: str) -> Parser:
@@ -127,17 +153,31 @@ class Parser:
         g = self.grammar
         every = frozenset(k for k in self.terminal_of)
         out, at, loose = [], 0, False
+        memory, spent, everything = Memory(), [], frozenset(range(1, len(g.terminals)))
         while at < len(text):
-            got = self.token(text, at, every, loose)
-            if got is None:
+            if (answer := self._asked(text, at, everything, memory, not loose, spent)) and answer.end > at:
+                k, at, end = answer
+            elif got := self.token(text, at, every, loose):
+                k, end = got
+            else:
                 break
-            k, end = got
             if k not in g.extras or g.terminals[k].shape == "named":
                 out.append((g.terminals[k].name, at, end, k in g.extras))
             loose = k in g.extras
             at = end
         return out
 
+    def _asked(self, text: str, at: int, wanted: frozenset[int], memory: Memory, fresh: bool, spent: list[tuple[int, int]]):
+        """The scanner's answer; ``spent`` holds the answers without width at this place, each of which may come a bounded number of times."""
+        if self.scanner is None:
+            return None
+        spent[:] = [x for x in spent if x[0] == at]
+        here = [k for _, k in spent]
+        answer = self.scanner.ask(text, at, wanted, memory, fresh, frozenset(k for k in here if here.count(k) > FRAMES))
+        if answer and answer.end == at:
+            spent.append((at, answer.terminal))
+        return answer
+
     # trees
 
     def _leaf(self, k: int, start: int, end: int, extra: bool = False) -> Node:
@@ -212,14 +252,22 @@ class Parser:
             out = sorted(best.values(), key=lambda h: -h.heft)[:MAX_READINGS]
         return out, done
 
-    def parse(self, text: str, mend: str = "fell") -> Tree:
-        """A tree on every outcome: whole, or a forest of what was built."""
+    def parse(self, text: str, mend: str = "fell", rings: list[Ring] | None = None, stride: int = 16) -> Tree:
+        """A tree on every outcome: whole, or a forest of what was built.
+
+        With ``rings``, parsing goes on from the last of them, and leaves one every ``stride`` tokens.
+        """
         if mend not in MENDS:
             raise ValueError(f"mend is one of {', '.join(MENDS)}")
         g = self.grammar
         heads, at, loose, shifted = [Head(0, None, None, 0)], 0, False, 0
         tree = Tree([], "accepted", len(text), None, None)
-        broken = False
+        broken, memory, spent, kept = False, Memory(), [], -1
+        self.automaton.reach = 0
+        if rings:
+            at, self.automaton.reach, heads, loose, shifted, tree, broken = rings[-1]
+            tree = tree.copy()
+            tree.at = tree.at if broken else len(text)
 
         def stop(kind: str, where: int, symbol: str | None) -> None:
             nonlocal broken
@@ -228,7 +276,13 @@ class Parser:
 
         while True:
             wanted = self.tables.permitted(heads[0].state) if len(heads) == 1 else frozenset().union(*(self.tables.permitted(h.state) for h in heads))
-            if at >= len(text):
+            if rings is not None and self.scanner is None and shifted % stride == 0 and (not rings or shifted > rings[-1].shifted):
+                if len(rings) >= MOST_RINGS:
+                    del rings[1:-1:2]
+                rings.append(Ring(at, self.automaton.reach, heads, loose, shifted, tree.copy(), broken))
+            if answer := self._asked(text, at, wanted, memory, not loose, spent):
+                k, at, end = answer
+            elif at >= len(text):
                 k, end = 0, at
             else:
                 got = self.token(text, at, wanted, loose)
@@ -244,7 +298,7 @@ class Parser:
                 continue
             after, done = self.absorb(heads, k, self._leaf(k, at, end) if k > 0 else None) if k >= 0 else ([], None)
             if done:
-                tree.roots = self._crown(done, text)
+                tree.roots = tree.felled + self._crown(done, text)
                 return tree
             if after:
                 heads, at, loose = after, end, False
@@ -253,7 +307,7 @@ class Parser:
             stop("stray" if k < 0 else "truncated" if k == 0 else "unexpected", at, g.symbol_name(k) if k >= 0 else None)
             if mend == "none" or tree.skipped > MOST_SKIPPED * len(text):
                 break
-            given = self._supply(heads, k, at) if k >= 0 and mend == "fell" else []
+            given = self._supply(heads, k, at) if k >= 0 and mend != "keep" else []
             if len(given) == 1:
                 name, heads = given[0]
                 tree.supplied += 1
@@ -262,13 +316,19 @@ class Parser:
             tree.spurned += len(given) > 1
             if k == 0:
                 break
+            if end == at:  # an answer without width that no head takes isn't asked for again here
+                spent.extend([(at, k)] * (FRAMES + 1))
+                continue
             tree.mends += 1
             tree.skipped += end - at
-            tree.scars.append(Scar(at, end, None, len(heads), shifted, False, "stray" if k < 0 else "unexpected"))
-            error = Node("ERROR", "ERROR", True, False, at, end, (), True)
-            heads = [Head(h.state, error, h, h.heft) for h in heads]
+            fell = mend == "fell" or mend == "relent" and kept == shifted
+            tree.scars.append(Scar(at, end, None, len(heads), shifted, fell, "stray" if k < 0 else "unexpected"))
+            if fell:
+                tree.felled += self._forest(max(heads, key=lambda h: h.heft))
+                heads, memory = [Head(0, None, None, 0)], Memory()
+            kept = -1 if fell else shifted
             at, loose = end, True
-        tree.roots = self._forest(max(heads, key=lambda h: h.heft))
+        tree.roots = tree.felled + self._forest(max(heads, key=lambda h: h.heft))
         return tree
 
     def _supply(self, heads: list[Head], k: int, at: int) -> list[tuple[str, list[Head]]]:

@@ -248,7 +248,7 @@ def compile_(source: str, g: Grammar) -> list[Pattern]:
 def _inside(g: Grammar, kind: str) -> tuple[set[str], set[str]]:
     """(fields, kinds and literals) that a node of this kind may have among its children, hidden rules spliced."""
     fields: set[str] = set()
-    kinds: set[str] = {g.symbol_name(x) for x in g.extras} | {"ERROR"}
+    kinds: set[str] = {g.symbol_name(x) for x in g.extras}
     worn = {s.symbol for p in g.productions for s in p.steps if s.alias and s.alias[0] == kind}
     todo = [s for s in range(g.size) if g.symbol_name(s) == kind or s in worn]
     seen = set(todo)
@@ -271,7 +271,7 @@ def _check(p: Pattern, item: Item, g: Grammar, source: str, carried: dict, shown
     def dead(cause: str) -> None:
         p.dead = p.dead or cause
 
-    if item.shape == "kind" and item.name not in g.kinds | set(g.supertypes) | {"ERROR"}:
+    if item.shape == "kind" and item.name not in g.kinds | set(g.supertypes):
         raise PatternError("unknown kind", item.at, item.name, source)
     if item.super_ and item.super_ not in g.supertypes:
         raise PatternError("unknown supertype", item.at, item.super_, source)

@@ -153,6 +153,8 @@ class Automaton:
             self._build(tree, start, end)
             self.first.append(start)
             self.accepts[end] = k
+        #: One past the last character that ``shortest`` or ``each`` has looked at; the end counts as a character.
+        self.reach = 0
         self._made: dict[frozenset[int], list] = {}
         self._starts: dict[frozenset[int], list] = {}
 
@@ -237,7 +239,9 @@ class Automaton:
             if state is None:
                 break
             if state[1]:
+                self.reach = max(self.reach, k + 1)
                 return k + 1, state[1]
+        self.reach = max(self.reach, k + 1 if state is None else len(text) + 1)
         return at, ()
 
     def each(self, text: str, at: int, permitted: frozenset[int]) -> dict[int, int]:
@@ -253,4 +257,5 @@ class Automaton:
                 break
             for t in state[1]:
                 out[t] = k + 1
+        self.reach = max(self.reach, k + 1 if state is None else len(text) + 1)
         return out

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lines as L
-from .operators import fold, navigate, trees
+from .operators import fold, navigate, segments, trees
 from .plans import tables as tables_
 from .plans.parser import Parser
 from .sources import store
@@ -14,6 +16,7 @@ from .streaming import edits as E
 
 JSON = store.builtin("json")
 MARKUP = store.builtin("markup")
+OUTLINE = store.builtin("outline")
 PAIRS = "(pair key: (string (string_content) @key) value: (number) @value)"
 
 
@@ -209,6 +212,78 @@ def w2_replay(spark, sf_dir):
     return E.replay(appends(spark, sf_dir)).select("doc_id", "text", F.col("edits").cast("long").alias("edits"))
 
 
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One indented outline a customer: the key, its orders beneath, and their lines beneath them."""
+    line = F.concat(F.lit("    l"), F.col("l_linenumber").cast("string"), F.lit("\n"))
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("ls"))
+    orders = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    item = F.struct("o_orderkey", F.concat(F.lit("  o"), F.col("o_orderkey").cast("string"), F.lit("\n"), F.coalesce("ls", F.lit(""))).alias("x"))
+    by = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(item)).alias("os"))
+    text = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("\n"), F.array_join(F.transform("os", lambda o: o["x"]), ""))
+    return by.repartition(2 * spark.sparkContext.defaultParallelism, "o_custkey").select(F.col("o_custkey").alias("doc_id"), text.alias("text"))
+
+
+def l17_offside(spark, sf_dir):
+    """Outlines read by a scanner book: items and open blocks of each."""
+    nodes = trees.nodes(outlines(spark, sf_dir), OUTLINE)
+    return nodes.groupBy("doc_id").agg(F.count(F.when(F.col("kind") == "item", 1)).alias("items"), F.count(F.when(F.col("kind") == "block", 1)).alias("blocks"))
+
+
+def l25_book(spark, sf_dir):
+    """Labels of the outlines' top items by a pattern over trees that a scanner book shaped."""
+    got = trees.captures(outlines(spark, sf_dir), OUTLINE, "(document (item label: (label) @top))")
+    return got.select("doc_id", F.col("text").alias("label"))
+
+
+def a16_fold(spark, sf_dir):
+    """The product of every text's segment effects: a whole text is grounded and leaves the start symbol."""
+    return segments.products(segments.segments(nested(spark, sf_dir), JSON, 8), JSON).select("doc_id", F.col("entry").cast("long").alias("entry"), F.col("reaches").cast("long").alias("reaches"), "left", "grounded")
+
+
+def a17_segments(spark, sf_dir):
+    return _long(segments.segments(props(spark, sf_dir), JSON, 4).drop("guard"))
+
+
+def i7_survey(spark, sf_dir):
+    return _long(segments.survey(nested(spark, sf_dir), JSON))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's properties as a first edit, then one more member as a second."""
+    e, more = _table(spark, sf_dir, "events"), F.lit(',"z":1')
+    last = F.octet_length("props") - 1
+    first = e.select(F.col("event_id").alias("doc_id"), F.lit(0).alias("seq"), F.lit(0).alias("from"), F.lit(0).alias("to"), F.col("props").alias("insert"))
+    return first.union(e.select("event_id", F.lit(1), last, last, more))
+
+
+def w9_costs(spark, sf_dir):
+    return _long(E.amends(changes(spark, sf_dir), JSON).select("doc_id", "seq", "refused", "bytes", "delta", "stop_kind"))
+
+
+def _unmerged() -> str:
+    """A grammar with one token lookahead whose merged tables are contested: x and y are told apart only by where c began."""
+    s, lit = lambda n: {"type": "SYMBOL", "name": n}, lambda v: {"type": "STRING", "value": v}
+    arms = [{"type": "SEQ", "members": [lit(a), s(n), lit(b)]} for a, n, b in (("a", "x", "d"), ("b", "y", "d"), ("a", "y", "e"), ("b", "x", "e"))]
+    wrapped = {"type": "SEQ", "members": [lit("c")]}
+    return json.dumps({"name": "unmerged", "rules": {"top": {"type": "CHOICE", "members": arms}, "x": wrapped, "y": wrapped}})
+
+
+UNMERGED = _unmerged()
+
+
+def p14_frayed(spark, sf_dir):
+    """Cells that merging alone contests, in the merged tables of a grammar that needs unmerged ones."""
+    t = tables_.merged(Parser.of(UNMERGED).grammar)
+    return spark.createDataFrame([(t.grammar.symbol_name(f.terminal), f.harm) for f in tables_.frayed(t)], "terminal string, harm string")
+
+
+def p16_unfolded(spark, sf_dir):
+    """States and conflicts of the merged tables and of those that are used."""
+    g = Parser.of(UNMERGED).grammar
+    rows = [(name, len(t.conflicts), len(t.kernels) > len(tables_.merged(g).kernels)) for name, t in (("merged", tables_.merged(g)), ("used", tables_.build(g)))]
+    return spark.createDataFrame(rows, "tables string, conflicts long, grown boolean")
+
+
 def i1_conflicts(spark, sf_dir):
     c = store.frames(spark, JSON)["conflicts"].unionByName(store.frames(spark, MARKUP)["conflicts"])
     return c.groupBy("kind", "verdict", "party").agg(F.count(F.lit(1)).alias("cells"))
@@ -235,7 +310,7 @@ def p20_inquest(spark, sf_dir):
 _NESTED = f"WITH {NESTED_SQL} "
 _COUNTS = "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (g4_lines, g5_indent, g6_shape, g7_line_of_offset, g8_after, g10_leads, g12_where, l5_tokens, t2_nodes, t2_leaves, t11_pages, t13_supplied, t17_parses, t16_survey, s13_sexp, s14_outline, s15_scars, n1_parent, n3_siblings, n6_by_field, n7_covering, n9_sizes, n15_ancestors, x8_child, x15_greedy, x21_order, a1_ordered, a10_excess, w2_replay, i1_conflicts, i4_census, i6_chain, p20_inquest)}
+QUERIES = {f.__name__: f for f in (g4_lines, g5_indent, g6_shape, g7_line_of_offset, g8_after, g10_leads, g12_where, l5_tokens, t2_nodes, t2_leaves, t11_pages, t13_supplied, t17_parses, t16_survey, s13_sexp, s14_outline, s15_scars, n1_parent, n3_siblings, n6_by_field, n7_covering, n9_sizes, n15_ancestors, x8_child, x15_greedy, x21_order, a1_ordered, a10_excess, w2_replay, l17_offside, l25_book, a16_fold, a17_segments, i7_survey, w9_costs, p14_frayed, p16_unfolded, i1_conflicts, i4_census, i6_chain, p20_inquest)}
 QUERIES |= {
     "x7_negated": _tally("(number !key) @n"),
     "x9_anchor": _tally("(array . (object) @first)"),
@@ -286,6 +361,13 @@ SQL = {
     "x21_order": """SELECT doc_id, 2 * (r - 1) + k AS match, CASE k WHEN 0 THEN CAST(l_linenumber AS VARCHAR) ELSE CAST(l_partkey AS VARCHAR) END AS value FROM (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey,
       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), (VALUES (0), (1)) AS v(k)""",
     "x23_tally": f"SELECT doc_id, 7 + 5 * n AS matches FROM ({_COUNTS})",
+    "p14_frayed": "SELECT * FROM (VALUES ('d', 'fold_dropped'), ('e', 'fold_dropped')) AS v(terminal, harm)",
+    "p16_unfolded": "SELECT * FROM (VALUES ('merged', 2::BIGINT, false), ('used', 0::BIGINT, true)) AS v(tables, conflicts, grown)",
+    "l17_offside": """SELECT o_custkey AS doc_id, CAST(1 + count(*) + sum(n) AS BIGINT) AS items, 1 + count(*) FILTER (n > 0) AS blocks FROM orders
+      JOIN (SELECT o_orderkey AS k, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) ON k = o_orderkey GROUP BY 1""",
+    "l25_book": "SELECT DISTINCT o_custkey AS doc_id, 'c' || o_custkey AS label FROM orders",
+    "a16_fold": "SELECT o_orderkey AS doc_id, 0 AS entry, 0 AS reaches, 'document' AS \"left\", true AS grounded FROM orders",
+    "w9_costs": """SELECT event_id AS doc_id, seq, false AS refused, strlen(props) + 6 * seq AS bytes, CASE seq WHEN 0 THEN strlen(props) ELSE 6 END AS delta, 'accepted' AS stop_kind FROM events, (VALUES (0), (1)) AS v(seq)""",
     "a1_ordered": "SELECT conv_id AS doc_id, string_agg(role || ';', '' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1",
     "w2_replay": "SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn DESC) AS text, count(*) AS edits FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1",
 }

@@ -24,6 +24,11 @@ def builtin(name: str) -> str:
     return (Path(__file__).parent.parent / "grammars" / f"{name}.json").read_text()
 
 
+def with_scanner(grammar: str, book: str) -> str:
+    """A grammar's source with a scanner book, which then answers for its external terminals."""
+    return json.dumps(json.loads(grammar) | {"scanner": json.loads(book)})
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of files, each whole."""
     from pyspark.sql import functions as F

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SCRIPT = re.compile(r"(\d+)\.\.(\d+)=(.*)", re.DOTALL)
-COSTS = "doc_id long, seq long, refused boolean, bytes int, delta int, nodes int, kept int, minted int, stop_kind string"
+COSTS = "doc_id long, seq long, refused boolean, bytes int, delta int, nodes int, kept int, minted int, resumed int, stop_kind string"
 
 
 def script(text: str) -> tuple[int, int, str]:
@@ -53,14 +53,74 @@ def replay(edits: DataFrame) -> DataFrame:
     return edits.where("doc_id is not null").select("doc_id", "seq", "from", "to", "insert").groupBy("doc_id").applyInArrow(run, "doc_id long, text string, edits int")
 
 
+def amends(edits: DataFrame, grammar: str) -> DataFrame:
+    """The costs of every edit, as ``live`` has them, of edits in a batch. One shuffle by key."""
+    from ..plans.parser import Parser
+
+    parser = Parser.of(grammar)
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("seq", "from", "to", "insert")), strict=True))
+        out, _ = costs(parser, t.column("doc_id")[0].as_py(), b"", rows)
+        types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+        fields = [c.split() for c in COSTS.split(", ")]
+        return pa.table({name: pa.array(column, types[kind]) for (name, kind), column in zip(fields, zip(*out, strict=True), strict=True)})
+
+    return edits.where("doc_id is not null").select("doc_id", "seq", "from", "to", "insert").groupBy("doc_id").applyInArrow(run, COSTS)
+
+
+def costs(parser, key, text: bytes, rows) -> tuple[list[tuple], bytes]:
+    """(a row of costs for each edit (seq, from, to, insert), the text after them)"""
+    from ..plans.parser import flat
+
+    session, out = Session(parser, text.decode()), []
+    known = _shapes(session.tree, session.text, flat)
+    for seq, start, end, insert in rows:
+        new = applied(text, start, end, insert)
+        delta = 0 if new is None else len(new) - len(text)
+        if new is not None:
+            session.amend(len(text[:start].decode()), len(text[:end].decode()), insert or "")
+            text = new
+        shapes = _shapes(session.tree, session.text, flat)
+        kept, known = len(shapes & known), shapes
+        out.append((key, seq, new is None, len(text), delta, len(shapes), kept, len(shapes) - kept, len(session.text[: session.resumed].encode()), session.tree.stop))
+    return out, text
+
+
+class Session:
+    """A text under edit. A parse goes on from the last ring before a cut, and is as a fresh one would be."""
+
+    def __init__(self, parser, text: str = "", mend: str = "fell", reuse: bool = True):
+        self.parser, self.mend, self.reuse = parser, mend, reuse
+        self.rings: list = []
+        self.read(text)
+
+    def read(self, text: str) -> None:
+        """Replace the text."""
+        self.text, self.resumed = text, 0
+        self.rings.clear()
+        self.tree = self.parser.parse(text, self.mend, self.rings)
+
+    def amend(self, start: int, end: int, insert: str) -> None:
+        """Cut [start, end), in characters, and write ``insert`` there; ``resumed`` is where parsing went on."""
+        if not 0 <= start <= end <= len(self.text):
+            raise ValueError(f"{start}..{end} is out of a text of {len(self.text)}")
+        self.text = self.text[:start] + insert + self.text[end:]
+        while self.rings and (self.rings[-1].reach > start or not self.reuse):
+            self.rings.pop()
+        self.resumed = self.rings[-1].at if self.rings else 0
+        self.tree = self.parser.parse(self.text, self.mend, self.rings)
+
+
 def live(stream: DataFrame, grammar: str) -> DataFrame:
     """A streaming frame of edits to a row of costs for each: the tree's size, and how many nodes the edit kept or minted.
 
-    State is the text of a key. The trees are those of a fresh parse, so what they hold never depends on the edits' way.
+    State is the text of a key; rings live as long as a batch. Trees equal those of a fresh parse, so what they hold never
+    depends on the edits' way.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    from ..plans.parser import Parser, flat
+    from ..plans.parser import Parser
 
     parser = Parser.of(grammar)
 
@@ -70,18 +130,8 @@ def live(stream: DataFrame, grammar: str) -> DataFrame:
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             text = self.text.get()[0].encode() if self.text.exists() else b""
-            known = _shapes(parser, flat, text.decode())
-            out = []
-            for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-                row = dict(zip(("doc_id", "seq", "start", "end", "insert"), r, strict=True))
-                new = applied(text, int(row["start"]), int(row["end"]), row["insert"])
-                delta = 0 if new is None else len(new) - len(text)
-                text = text if new is None else new
-                tree = parser.parse(text.decode())
-                shapes = _shapes(parser, flat, text.decode())
-                kept = len(shapes & known)
-                known = shapes
-                out.append((key[0], int(row["seq"]), new is None, len(text), delta, len(shapes), kept, len(shapes) - kept, tree.stop))
+            given = pd.concat(list(rows)).sort_values("seq")[["seq", "start", "end", "insert"]]
+            out, text = costs(parser, key[0], text, [(int(q), int(i), int(j), x) for q, i, j, x in given.itertuples(index=False)])
             self.text.update((text.decode(),))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in COSTS.split(", ")])
 
@@ -92,11 +142,11 @@ def live(stream: DataFrame, grammar: str) -> DataFrame:
     return named.groupBy("doc_id").transformWithStateInPandas(Texts(), COSTS, "Append", "None")
 
 
-def _shapes(parser, flat, text: str) -> set:
+def _shapes(tree, text: str, flat) -> set:
     """Nodes by kind, depth, text and occurrence, which are alike before and after an edit elsewhere."""
     seen: dict = {}
     out = set()
-    for n, _, _, _, _, depth, _ in flat(parser.parse(text).roots):
+    for n, _, _, _, _, depth, _ in flat(tree.roots):
         key = (n.kind, depth, text[n.start : n.end])
         seen[key] = seen.get(key, 0) + 1
         out.add((*key, seen[key]))
