@@ -22,18 +22,23 @@ MENDS = ("none", "keep", "fell", "relent")
 
 
 class Node:
-    __slots__ = ("kind", "under", "named", "hidden", "extra", "renamed", "field", "start", "end", "kids", "heft")
+    __slots__ = ("kind", "under", "named", "hidden", "extra", "renamed", "field", "start", "end", "kids", "count", "heft")
 
     def __init__(self, kind, under, named, hidden, start, end, kids=(), extra=False):
         self.kind, self.under, self.named, self.hidden = kind, under, named, hidden
         self.extra, self.renamed, self.field = extra, False, None
         self.start, self.end, self.kids, self.heft = start, end, kids, 0
+        # A hidden node owns the first ``count`` of a list that its successors go on writing, so that a run of n takes n steps.
+        self.count = len(kids)
 
     def copy(self) -> Node:
         n = Node(self.kind, self.under, self.named, self.hidden, self.start, self.end, self.kids, self.extra)
-        n.renamed, n.field, n.heft = self.renamed, self.field, self.heft
+        n.renamed, n.field, n.heft, n.count = self.renamed, self.field, self.heft, self.count
         return n
 
+    def run(self):
+        return self.kids if len(self.kids) == self.count else self.kids[: self.count]
+
 
 @dataclass
 class Scar:
@@ -114,6 +119,11 @@ class Parser:
             standing = 0 if k in g.extras else (5 if t.kind == "literal" else 3) + t.immediate
             self._rank[k] = (t.prec, standing)
         self._permits: dict = {}
+        self._begin: dict[tuple[int, bool], tuple[list, bool]] = {}
+        self._standing = lambda j: (self._rank[self.terminal_of[j]][1], -j)
+        self._wanted = [self.tables.permitted(s) for s in range(len(self.tables.actions))]
+        self._leaves = [(t.name, t.shape == "named", t.shape == "hidden") for t in g.terminals]
+        self._plans = [(len(p.steps), g.symbol_name(p.lhs), g.shape(p.lhs)) for p in g.productions]
         book = (json.loads(source) if isinstance(source, str) else source).get("scanner")
         self.scanner = Scanner(book, {t.name: k for k, t in enumerate(self.grammar.terminals) if k}) if book else None
 
@@ -128,16 +138,31 @@ class Parser:
 
     # tokens
 
+    def _permitted(self, wanted: frozenset[int], loose: bool) -> frozenset[int]:
+        key = (wanted, loose)
+        if key not in self._permits:
+            g = self.grammar
+            self._permits[key] = frozenset(self.place_of[k] for k in wanted | {x for x in g.extras if g.is_terminal(x)} if k in self.place_of and not (loose and g.terminals[k].immediate))
+        return self._permits[key]
+
+    def _token_in(self, text: str, at: int, state: int, loose: bool) -> tuple[int, int] | None:
+        """The token that one state reads next: by the longest match alone where all that it permits has one precedence."""
+        got = self._begin.get((state, loose))
+        if got is None:
+            permitted = self._permitted(self._wanted[state], loose)
+            even = len({self._rank[self.terminal_of[j]][0] for j in permitted}) <= 1
+            got = self._begin[state, loose] = self.automaton.start(permitted), even
+        if not got[1]:
+            return self.token(text, at, self._wanted[state], loose)
+        found = self.automaton.best(text, at, got[0], self._standing)
+        return found and (self.terminal_of[found[0]], found[1])
+
     def token(self, text: str, at: int, wanted: frozenset[int], loose: bool) -> tuple[int, int] | None:
         """(terminal, end) of the next token among the wanted and extras; immediate ones only when not ``loose``.
 
         The highest precedence first, in it the longest, then literal before pattern, then the lowest number.
         """
-        key = (wanted, loose)
-        permitted = self._permits.get(key)
-        if permitted is None:
-            g = self.grammar
-            permitted = self._permits[key] = frozenset(self.place_of[k] for k in wanted | {x for x in g.extras if g.is_terminal(x)} if k in self.place_of and not (loose and g.terminals[k].immediate))
+        permitted = self._permitted(wanted, loose)
         found = self.automaton.each(text, at, permitted)
         if not found:
             return None
@@ -181,13 +206,13 @@ class Parser:
     # trees
 
     def _leaf(self, k: int, start: int, end: int, extra: bool = False) -> Node:
-        t = self.grammar.terminals[k]
-        return Node(t.name, t.name, t.shape == "named", t.shape == "hidden", start, end, (), extra)
+        name, named, hidden = self._leaves[k]
+        return Node(name, name, named, hidden, start, end, (), extra)
 
     def _reduce(self, head: Head, p: int) -> Head:
-        g = self.grammar
-        production = g.productions[p]
-        trailing, nodes, need, h, heft = [], [], len(production.steps), head, head.heft
+        production = self.grammar.productions[p]
+        need, name, shape = self._plans[p]
+        trailing, nodes, h, heft = [], [], head, head.heft
         while need:
             if h.node.extra and not nodes:
                 trailing.append(h.node)
@@ -198,7 +223,9 @@ class Parser:
         nodes.reverse()
         kids: list[Node] = []
         j = 0
-        for n in nodes:
+        if len(nodes) > 1 and nodes[0].hidden and nodes[0].count and shape != "named" and not (production.steps[0].alias or production.steps[0].field):
+            kids, j = nodes[0].run(), 1
+        for n in nodes[j:]:
             if n.extra:
                 kids.append(n)
                 continue
@@ -207,9 +234,11 @@ class Parser:
             if step.alias:
                 n = n.copy()
                 n.kind, n.named, n.hidden, n.renamed = step.alias[0], step.alias[1], False, True
-            if n.hidden:
-                for kid in n.kids:
-                    if step.field and not kid.extra and kid.field is None:
+            if n.hidden and not step.field:
+                kids += n.run()
+            elif n.hidden:
+                for kid in n.run():
+                    if not kid.extra and kid.field is None:
                         kid = kid.copy()
                         kid.field = step.field
                     kids.append(kid)
@@ -219,12 +248,12 @@ class Parser:
                         n = n.copy()
                     n.field = step.field
                 kids.append(n)
-        real = [n for n in nodes if not n.extra and n.end > n.start]
-        if real:
-            start, end = real[0].start, real[-1].end
-        else:
+        start = end = -1
+        for n in nodes:
+            if n.end > n.start and not n.extra:
+                start, end = n.start if start < 0 else start, n.end
+        if start < 0:
             start = end = h.node.end if h.node else 0
-        name, shape = g.symbol_name(production.lhs), g.shape(production.lhs)
         new = Node(name, name, shape == "named", shape != "named", start, end, kids)
         out = Head(self.tables.edges[h.state][production.lhs], new, h, heft + production.dynamic)
         for n in reversed(trailing):
@@ -233,6 +262,16 @@ class Parser:
 
     def absorb(self, heads: list[Head], k: int, leaf: Node | None) -> tuple[list[Head], Head | None]:
         """(heads after the terminal, the accepted head); empty if every head refuses it."""
+        if len(heads) == 1:  # no choice as far as it goes
+            head = heads[0]
+            while len(offers := self.tables.actions[head.state].get(k, ())) == 1:
+                verb, x = offers[0]
+                if verb == SHIFT:
+                    return [Head(x, leaf, head, head.heft)], None
+                if verb == ACCEPT:
+                    return [], head
+                head = self._reduce(head, x)
+            heads = [head]
         out, done, todo = [], None, list(heads)
         while todo:
             head = todo.pop()
@@ -275,17 +314,18 @@ class Parser:
                 tree.stop, tree.at, tree.symbol, tree.state, broken = kind, where, symbol, heads[0].state, True
 
         while True:
-            wanted = self.tables.permitted(heads[0].state) if len(heads) == 1 else frozenset().union(*(self.tables.permitted(h.state) for h in heads))
+            one = len(heads) == 1
+            wanted = self._wanted[heads[0].state] if one else frozenset().union(*(self._wanted[h.state] for h in heads))
             if rings is not None and self.scanner is None and shifted % stride == 0 and (not rings or shifted > rings[-1].shifted):
                 if len(rings) >= MOST_RINGS:
                     del rings[1:-1:2]
                 rings.append(Ring(at, self.automaton.reach, heads, loose, shifted, tree.copy(), broken))
-            if answer := self._asked(text, at, wanted, memory, not loose, spent):
+            if self.scanner and (answer := self._asked(text, at, wanted, memory, not loose, spent)):
                 k, at, end = answer
             elif at >= len(text):
                 k, end = 0, at
             else:
-                got = self.token(text, at, wanted, loose)
+                got = self._token_in(text, at, heads[0].state, loose) if one else self.token(text, at, wanted, loose)
                 if got is None:  # name what stands here by the unrestricted terminals
                     end, found = self.automaton.shortest(text, at, frozenset(range(len(self.terminal_of))))
                     k, end = (self.terminal_of[found[0]], end) if found else (-1, at + 1)
@@ -347,7 +387,7 @@ class Parser:
     def _forest(head: Head) -> list[Node]:
         out = []
         while head.node:
-            out.extend(reversed(head.node.kids) if head.node.hidden else [head.node])
+            out.extend(reversed(head.node.run()) if head.node.hidden else [head.node])
             head = head.below
         return out[::-1]
 

@@ -196,7 +196,7 @@ class Automaton:
                     a = c
 
     def _closed(self, states) -> list:
-        """[moves by character so far, accepted terminals, members] of the deterministic state."""
+        """[moves by character so far, accepted terminals, members, the best terminal once asked for] of the deterministic state."""
         todo, seen = list(states), set(states)
         while todo:
             for t in self.empty[todo.pop()]:
@@ -205,7 +205,7 @@ class Automaton:
                     todo.append(t)
         key = frozenset(seen)
         if key not in self._made:
-            self._made[key] = [{}, tuple(sorted(self.accepts[s] for s in key if s in self.accepts)), key]
+            self._made[key] = [{}, tuple(sorted(self.accepts[s] for s in key if s in self.accepts)), key, None]
         return self._made[key]
 
     def _move(self, state: list, c: str):
@@ -244,6 +244,33 @@ class Automaton:
         self.reach = max(self.reach, k + 1 if state is None else len(text) + 1)
         return at, ()
 
+    def start(self, permitted: frozenset[int]) -> list:
+        state = self._starts.get(permitted)
+        if state is None:
+            state = self._starts[permitted] = self._closed([self.first[k] for k in permitted])
+        return state
+
+    def best(self, text: str, at: int, state: list, rank) -> tuple[int, int] | None:
+        """(terminal, end) of the longest match from a start, among those that end there the one of the highest rank."""
+        found, k, n = None, at, len(text)
+        while k < n:
+            c = text[k]
+            k += 1
+            moves = state[0]
+            state = moves[c] if c in moves else self._move(state, c)
+            if state is None:
+                break
+            if state[1]:
+                found, end = state, k
+        seen = k if state is None else n + 1
+        if seen > self.reach:
+            self.reach = seen
+        if found is None:
+            return None
+        if found[3] is None:
+            found[3] = max(found[1], key=rank)
+        return found[3], end
+
     def each(self, text: str, at: int, permitted: frozenset[int]) -> dict[int, int]:
         """The longest end of each permitted terminal that matches something."""
         state = self._starts.get(permitted)
