@@ -4,7 +4,8 @@ A text is the set of its hashed words (runs of alphanumeric bytes, A-Z folded),
 frequency in the sample as its value x_i. The score is sigmoid(bias + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j),
 the pair sum in linear time as half of |sum v x|^2 - sum |v x|^2, so that pairs such as an insult with a mention of a
 group weigh more than their parts. Linear weights are learned with FTRL updates, factors with AdaGrad; a term takes
-part once it is in ``MIN_TEXTS`` texts of the sample.
+part once it is in ``MIN_TEXTS`` texts of the sample. As in DiFacto (Li et al. 2016), a term has factors while L1 leaves it a linear
+weight: otherwise the pairs of a long text's usual words outweigh all others. A pair of terms that both mark nothing alone is not learned.
 
 Defined results: null, empty and wordless texts score the bias alone; repeated rows score alike; an empty table gives
 an empty result; without labels every score is 0.5. Columns named like a result are replaced.
@@ -61,8 +62,11 @@ class ToxicityModel:
     value: np.ndarray
 
 
-def fit(sample: DataFrame, epochs: int = 6, rate: float = 0.005, decay: float = 1e-2) -> ToxicityModel:
-    """A model from (text, y). The sample is bounded by its maker; only its hashed terms reach the driver."""
+def fit(sample: DataFrame, epochs: int = 6, rate: float = 0.15, decay: float = 1e-4, start: float = 0.1) -> ToxicityModel:
+    """A model from (text, y). The sample is bounded by its maker; only its hashed terms reach the driver.
+
+    ``rate``, ``decay`` and ``start`` (the spread they begin with) are those of the factors.
+    """
     rows = sample.mapInArrow(vectors, "y int, ids array<int>").toArrow()
     y, ids = rows.column("y").to_numpy(), [np.asarray(v.values) for v in rows.column("ids")]
     texts = np.zeros(SIZE, np.int32)
@@ -71,23 +75,24 @@ def fit(sample: DataFrame, epochs: int = 6, rate: float = 0.005, decay: float =
     ids = [i[texts[i] >= MIN_TEXTS] for i in ids]
     value = np.log((1 + len(ids)) / (1 + texts)) / np.log(2 + len(ids))
     rng = np.random.default_rng(9)
-    v = np.where((texts >= MIN_TEXTS)[:, None], rng.normal(0, 0.01, (SIZE, FACTORS)), 0.0)
+    v = np.where((texts >= MIN_TEXTS)[:, None], rng.normal(0, start, (SIZE, FACTORS)), 0.0)
     linear, bias, seen = Ftrl(SIZE, alpha=1.0, l1=3.0, l2=0.5), Ftrl(1, alpha=0.1, l1=0.0, l2=0.0), np.full((SIZE, FACTORS), 1.0)
     for _ in range(epochs):
         for r in rng.permutation(len(y)):
             i = ids[r]
             x = value[i]
             w, b, u = linear.weights(i)[:, 0], bias.weights(), v[i]
-            ux = u * x[:, None]
+            on = (w != 0)[:, None]
+            ux = u * x[:, None] * on
             total = ux.sum(0)
             g = sigmoid(b[0, 0] + w @ x + 0.5 * (total @ total - (ux * ux).sum())) - y[r]
             linear.update(i, (g * x)[:, None], w[:, None])
             bias.update(np.array([0]), np.array([[g]]), b)
-            step = g * x[:, None] * (total - ux) + decay * u
+            step = on * (g * x[:, None] * (total - ux) + decay * u)
             seen[i] += step * step
             v[i] = u - rate * step / np.sqrt(seen[i])
     w = linear.weights()[:, 0]
-    return ToxicityModel(float(bias.weights()[0, 0]), w.astype(np.float32), v.astype(np.float32), value.astype(np.float32))
+    return ToxicityModel(float(bias.weights()[0, 0]), w.astype(np.float32), (v * (w != 0)[:, None]).astype(np.float32), value.astype(np.float32))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", drop: tuple = ()) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -158,6 +159,26 @@ def test_toxic_pairs_weigh_more_than_parts(spark):
     assert both > 0.5 > max(one, other)
 
 
+def test_toxic_pairs_change_decisions_with_the_defaults(spark):
+    """Insults alone and groups alone are clean, however many: held-out errors of an additive model that pairs settle."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(4000):
+        a, b = rng.choice([0] * 4 + [1, 2, 3]), rng.choice([0] * 4 + [1, 2, 3])
+        words = [f"w{rng.randrange(400)}" for _ in range(25)] + [f"insult{j}" for j in rng.sample(range(12), a)] + [f"group{j}" for j in rng.sample(range(12), b)]
+        rows.append((k, " ".join(words), int(a > 0 and b > 0)))
+    data = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    sample, held = data.where("doc_id < 3000").select("text", "y"), data.where("doc_id >= 3000")
+    model = toxicity.fit(sample)
+    additive = toxicity.fit(sample, rate=0.0)
+    out = []
+    for m in (model, replace(model, factors=0 * model.factors), replace(additive, factors=0 * additive.factors)):
+        out.append({r["doc_id"]: (r["score"] >= 0.3, r["y"]) for r in toxicity.score(held, m).collect()})
+    wrong = [sum(flag != y for flag, y in o.values()) for o in out]
+    assert sum(out[0][k] != out[1][k] for k in out[0]) >= 50
+    assert wrong[0] < 0.95 * wrong[2], wrong
+
+
 def test_language(spark):
     rng = random.Random(6)
     parts = {"aa": "the ing tion and er", "bb": "que los ción ñad es", "cc": "üng sch kei ße der"}
