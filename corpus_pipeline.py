@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each an operator of ``sylva.llm`` over all that the stage before it kept.
 
 1. language ID: documents without a letter or without a confident language go;
-2. n-gram Jaccard join: of each group of near duplicates the document with the group's smallest doc_id stays;
+2. n-gram Jaccard join: of each group of near duplicates the document with the group's smallest doc_id stays, and so do rows without a doc_id;
 3. benchmark decontamination: documents in which a window of a benchmark item occurs go;
 4. PII: every span found is replaced by its kind in angle brackets;
 5. SentencePiece: documents are encoded and decoded again; the token ids are returned with the documents.
@@ -35,8 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(docs)
-    stay = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    lost = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,3 +342,12 @@ def test_pipeline(spark, tmp_path, docs):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(out) == list(range(40))
     assert all(r["text"].endswith("<EMAIL>") and r["n_chars"] == len(r["text"]) and len(r["ids"]) == r["n_tokens"] for r in out.values())
+
+
+def test_pipeline_keeps_rows_without_doc_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k if k % 3 else None, f"{sentence(random.Random(k), 60)} end", "en", "src", 9) for k in range(1, 13)]
+    data = spark.createDataFrame([*rows, (40, rows[0][1] + " more", "en", "src", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, data, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in out) == sorted(r[1] for r in rows)
