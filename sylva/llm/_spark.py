@@ -15,14 +15,18 @@ from pyspark.sql import types as T
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests) a folder is made. What earlier
-    cuts have made unreachable is let go of first, so that their shuffle files don't wait on disk for a collection.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local master (tests) gets a folder of its own
+    and a cluster is refused, as a folder of one machine would lose the others' data. What earlier cuts have made
+    unreachable is let go of first, so that their shuffle files don't wait on disk for a collection.
     """
     sc = df.sparkSession.sparkContext
     gc.collect()
     sc._jvm.System.gc()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
