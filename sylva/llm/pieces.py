@@ -6,16 +6,20 @@ is encoded once. Units are laid out flat as numpy symbol arrays and merged in ro
 unit (a segmented minimum), all its leftmost non-overlapping occurrences at once, then compaction, until no pair of
 any unit is a piece. A piece that another piece with as good a rank extends is merged once a round, at its leftmost
 place, since the longer one may come next there; elsewhere merging at once gives what merging one by one gives.
-Characters that are no piece end as their bytes' pieces.
+Words are done after some twenty rounds. A unit that is not after ``ROUNDS`` (a long run of blanks or of letters without
+a blank, whose merges chain from left to right) is finished from where it stands by a queue of its pairs, in time
+n log n, as each further round could be one merge. Characters that are no piece end as their bytes' pieces.
 
 Defined results: null is as empty, which has no ids and decodes to the empty text. Lone surrogates cannot occur in
-Spark strings. Very long units only need more rounds. Repeated rows get the same answer; an empty table gives an empty
+Spark strings. Repeated rows get the same answer; an empty table gives an empty
 result. Columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,8 @@ from ._text import CHUNK, chunks
 
 MARK = "▁"
 SLOT_BITS = 21
+#: Merge rounds over all units of a chunk.
+ROUNDS = 64
 _NEVER = np.int64(1 << 40)
 
 
@@ -74,6 +80,7 @@ class Vocabulary:
         self.char_id = np.full(0x110000, -1, np.int32)
         for ch, k in self.chars.items():
             self.char_id[ord(ch)] = k
+        self._table: dict[int, tuple[int, int]] = {}
         self.decimal = [str(k).encode() + b"," for k in range(len(model.pieces))]
         self.decimal_flat, self.plain_flat = _Flat(self.decimal), _Flat(self.plain)
 
@@ -96,6 +103,35 @@ class Vocabulary:
         return np.where(found, self.ranks[at], _NEVER), self.made[at]
 
 
+    def finish(self, symbols: list[int]) -> list[int]:
+        """One unit's symbols merged to the end: always the pair of the smallest rank, the leftmost of equal ones."""
+        if not self._table:
+            self._table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        known, n = self._table, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if 0 <= i and j < n and symbols[i] >= 0 and symbols[j] >= 0:
+                found = known.get(symbols[i] << 32 | symbols[j])
+                if found:
+                    heapq.heappush(queue, (found[0], i, symbols[i] << 32 | symbols[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, key, made = heapq.heappop(queue)
+            j = after[i]
+            if symbols[i] is None or j >= n or symbols[i] < 0 or symbols[i] << 32 | symbols[j] != key:
+                continue  # one of the two has merged since
+            symbols[i], symbols[j], after[i] = made, None, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return [x for x in symbols if x is not None]
+
+
 class _Flat:
     """Byte strings of ids side by side, to be gathered for many ids at once."""
 
@@ -125,7 +161,13 @@ def merge(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inner = np.flatnonzero(owner[1:] == owner[:-1])
     rank[inner], made[inner] = v.pair(symbols[inner], symbols[inner + 1])
     done: list[tuple[np.ndarray, np.ndarray]] = []
+    rounds = 0
     while len(symbols):
+        if (rounds := rounds + 1) > ROUNDS:
+            for unit, part in zip(*np.unique(owner, return_index=True), strict=True):
+                left = np.array(v.finish(symbols[part : np.searchsorted(owner, unit, "right")].tolist()), np.int64)
+                done.append((np.full(len(left), unit), left))
+            break
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         least = np.minimum.reduceat(rank, starts)
         wide = np.repeat(least, np.diff(np.append(starts, len(owner))))
