@@ -34,9 +34,14 @@ UNDETERMINED = "und"
 #: Documents with less confidence are rejected by the pipeline's stage.
 LEAST_SCORE = 0.5
 SCALE = 10.0
+#: What may be a letter; ``isalpha`` decides, as other numbers (a half, a circled one) match it too.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def _grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order, the hashed n-grams of all texts and the offset of each text."""
     texts = [t.lower() for t in texts]
@@ -165,7 +170,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", drop: tu
             p = _softmax((sum(sums(m.weights[g], o) for g, o in families) / n[:, None] + m.bias) / m.temperature)
             best = p.argmax(1)
             for r, t in enumerate(rows):
-                if _LETTER.search(t):
+                if has_letter(t):
                     languages[c.lo + r], score[c.lo + r] = m.languages[best[r]], p[r, best[r]]
         return [pa.array(languages, pa.string()), pa.array(score)]
 
