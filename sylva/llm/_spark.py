@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,24 +13,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
     ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local master (tests) gets a folder of its own
-    and a cluster is refused, as a folder of one machine would lose the others' data. What earlier cuts have made
-    unreachable is let go of first, so that their shuffle files don't wait on disk for a collection.
+    and a cluster is refused, as a folder of one machine would lose the others' data.
     """
-    sc = df.sparkSession.sparkContext
-    gc.collect()
-    sc._jvm.System.gc()
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint. What earlier cuts have made unreachable is let go of first, so that
+    its shuffle files don't wait on disk for a collection.
+    """
+    shared_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, reread: for wide rows, which it packs, and for stages of a pipeline."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
