@@ -7,8 +7,9 @@ that holds a prefix word proposes the windows with that prefix: the window must
 positional bounds, from the prefix word's place in the window), the hashes of all its words must agree, and last its
 words themselves.
 
-The windows are broadcast after a check of their number (``MAX_BROADCAST_WINDOWS``); beyond it ``find`` splits them
-into blocks of that many and passes over the documents once for each, so that no table of unbounded size is held.
+The distinct windows are a table of their own, made from the items in tasks; their bytes are summed there. What fits in
+``MAX_BROADCAST_BYTES`` is joined by broadcast; a larger benchmark is dealt into blocks of that many bytes by the windows'
+hash, and ``find`` passes over the documents once for each, so that neither the driver nor a task ever holds more than a block.
 
 Defined results: null, empty and wordless texts have no words and no hits; wordless items occur nowhere; a repeated
 item counts as each of its item_ids; rows with a null item_id are no items; repeated documents get the same answer;
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import append, table
+from ._spark import append, cut, table
 from ._text import Chunk, alphanumeric, chunks
 
 WINDOW = 10
-MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 _WORD = alphanumeric()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,19 +59,35 @@ class Windows:
     items: list[list[str]]  # which have the window
 
 
-def item_windows(items: DataFrame) -> dict[bytes, tuple[np.ndarray, list[str]]]:
-    """Each distinct window (folded words) with its word hashes and the items that have it."""
-    out: dict[bytes, tuple[np.ndarray, list[str]]] = {}
-    rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").toArrow()
-    names = rows.column("item_id").to_pylist()
-    for c in chunks(rows.column("text").combine_chunks()) if len(names) else ():
-        starts, ends, at, h = _words(c)
-        for r in range(c.hi - c.lo):
-            n = at[r + 1] - at[r]
-            for s in range(at[r], at[r] + max(n - WINDOW, 0) + 1) if n else ():
-                e = min(s + WINDOW, at[r + 1])
-                out.setdefault(_plain(c, starts[s:e], ends[s:e]), (h[s:e], []))[1].append(names[c.lo + r])
-    return out
+def item_windows(items: DataFrame) -> DataFrame:
+    """(plain, hashes, items): each distinct window's folded words and their hashes, and the items that have it, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column("text")):
+                starts, ends, at, h = _words(c)
+                rows, plain, hashes = [], [], []
+                for r in range(c.hi - c.lo):
+                    n = at[r + 1] - at[r]
+                    for s in range(at[r], at[r] + max(n - WINDOW, 0) + 1) if n else ():
+                        e = min(s + WINDOW, at[r + 1])
+                        rows.append(c.lo + r), plain.append(_plain(c, starts[s:e], ends[s:e])), hashes.append(h[s:e].view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(rows, pa.int64())), pa.array(plain, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["item_id", "plain", "hashes"])
+
+    rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
+    found = rows.mapInArrow(run, "item_id string, plain binary, hashes array<long>")
+    return found.groupBy("plain").agg(F.first("hashes").alias("hashes"), F.sort_array(F.collect_set("item_id")).alias("items"))
+
+
+def _blocks(windows: DataFrame, most: int) -> Iterator[dict[bytes, tuple[np.ndarray, list[str]]]]:
+    """The windows in blocks of about ``most`` bytes, one at a time; a single empty one where there are none."""
+    size = F.octet_length("plain") + 8 * F.size("hashes") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 4)
+    windows = cut(windows)
+    total = windows.agg(F.sum(size)).head()[0] or 0
+    blocks = max(1, -(-total // most))
+    for k in range(blocks):
+        rows = windows.where(F.pmod(F.xxhash64("plain"), F.lit(blocks)) == k).toArrow()
+        yield {p: (np.array(h, np.int64).view(np.uint64), x) for p, h, x in sorted(zip(*(rows.column(n).to_pylist() for n in ("plain", "hashes", "items")), strict=True))}
 
 
 def _count(vocabulary: np.ndarray):
@@ -115,7 +132,7 @@ def rarity_ordered(docs: DataFrame, windows: dict[bytes, tuple[np.ndarray, list[
         hashes[k, : len(h)] = h
     key = np.array(key, np.uint64)
     order = np.argsort(key, kind="stable")
-    plain, items = list(windows), [sorted(set(x)) for _, x in windows.values()]
+    plain, items = list(windows), [x for _, x in windows.values()]
     return Windows(key[order], np.array(place)[order], np.array(size)[order], hashes[order], [plain[k] for k in order], [items[k] for k in order])
 
 
@@ -139,16 +156,13 @@ def _occurrences(c: Chunk, w: Windows, maybe: np.ndarray) -> tuple[np.ndarray, l
     return at, same
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", drop: tuple = (), most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text: str = "text", drop: tuple = (), most: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """docs with ``n_words``, ``hits`` (disjoint [first, end) runs of hit words) and ``items`` (sorted item ids)."""
-    windows = item_windows(items)
-    parts = list(windows.items())
-    blocks = [dict(parts[k : k + most]) for k in range(0, len(parts), most)] or [{}]
     runs, ids = T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType())
-    names = docs.columns
-    for k, block in enumerate(blocks):
-        docs = _pass(docs, block, text, drop if k == len(blocks) - 1 else (), k > 0, runs, ids)
-    return docs.select(*[n for n in names if n in docs.columns and n not in ("n_words", "hits", "items")], "n_words", "hits", "items")
+    names = [n for n in docs.columns if n not in ("n_words", "hits", "items", *drop)]
+    for k, block in enumerate(_blocks(item_windows(items), most)):
+        docs = _pass(docs, block, text, (), k > 0, runs, ids)
+    return docs.select(*names, "n_words", "hits", "items")
 
 
 def _pass(docs: DataFrame, block: dict, text: str, drop: tuple, more: bool, runs: T.DataType, ids: T.DataType) -> DataFrame:
@@ -186,8 +200,6 @@ def _joined(hits: list[list[int]]) -> list[list[int]]:
     return out
 
 
-
-
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), drop=("text",))
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
