@@ -2,9 +2,10 @@
 
 Vectors are compared when label and dimension agree. Equal vectors of a label are one entity with a weight. A coarse
 quantiser and residual subspace codebooks are fitted on at most ``MAX_FIT_ROWS`` vectors; every vector is then coded:
-its list, its code, and its code's error e. A query x with nearest centroid c* probes each list c with
-|x - c| <= |x - c*| + 2 d, where d is the distance of unit vectors at the threshold: by the triangle inequality no
-linked vector lies elsewhere, so probes are always sufficient. A member y of a probed list survives when the table-lookup
+its list, its code, and its code's error e. Lists grow with the root of the vectors. A query x with nearest centroid c*
+probes each list c with |x - c|^2 - |x - c*|^2 <= 2 d |c - c*|, where d is the distance of unit vectors at the
+threshold: further off, the plane that parts the two lists is beyond d and with it all that c holds, so probes are
+always sufficient. A member y of a probed list survives when the table-lookup
 distance of x to y's code is at most d + e(y), again a bound that no linked vector fails, and survivors are
 reranked by their exact cosine in double precision. Recall is therefore 1 up to rounding.
 
@@ -33,7 +34,7 @@ from ._spark import bounded_rows, cut, table
 
 THRESHOLD = 0.93
 MAX_FIT_ROWS = 8_000
-LISTS = 24
+LEAST_LISTS = 24
 SUBSPACES = 8
 CODES = 64
 CELL_ROWS = 4096
@@ -84,7 +85,12 @@ class Index:
         return near, codes, np.linalg.norm(residual - back, axis=1)
 
 
-def fit(vectors: DataFrame, width: int, lists: int = LISTS) -> Index:
+def lists_for(vectors: int) -> int:
+    """Coarse lists of so many vectors of a label: their root's third, with sixteen fitted vectors a list at least."""
+    return min(max(LEAST_LISTS, int(vectors**0.5) // 3), MAX_FIT_ROWS // 16)
+
+
+def fit(vectors: DataFrame, width: int, lists: int = LEAST_LISTS) -> Index:
     """Quantisers from a bounded sample of entities (id, embedding)."""
     sample = _unit(bounded_rows(vectors.select("id", "embedding"), "id", MAX_FIT_ROWS).select("embedding").toArrow().column(0), width)
     rng = np.random.default_rng(8)
@@ -106,13 +112,15 @@ def _placed(shared, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, d = shared.value, _reach(threshold)
+        between = _distances(index.lists, index.lists)
         for b in batches:
             if not b.num_rows:
                 continue
             x = _unit(b.column("embedding"), index.width)
             away = _distances(x, index.lists)
             own = away.argmin(1)
-            probes = (away <= away.min(1, keepdims=True) + 2 * d) & (np.arange(away.shape[1]) >= own[:, None])
+            beyond = away**2 - away.min(1, keepdims=True) ** 2 - 2 * d * between[own]
+            probes = (beyond <= _EDGE) & (np.arange(away.shape[1]) >= own[:, None])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array([np.flatnonzero(p).astype(np.int32) for p in probes], pa.list_(pa.int32()))], [*b.schema.names, "list", "probes"])
 
     return run
@@ -176,8 +184,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows:
     rows = rows.withColumns({"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit(7), "embedding", "label")})
     entities = rows.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("weight"))
     entities = cut(entities.withColumns({"id": F.col("k1"), "dim": F.size("embedding")}))
-    width = entities.agg(F.max("dim")).head()[0] or 1
-    shared = spark.sparkContext.broadcast(fit(entities, width))
+    width, most = entities.groupBy("label").agg(F.max("dim").alias("dim"), F.count(F.lit(1)).alias("n")).agg(F.max("dim"), F.max("n")).head()
+    width = width or 1
+    shared = spark.sparkContext.broadcast(fit(entities, width, lists_for(most or 0)))
 
     base = entities.select("id", "label", "dim", "embedding", "weight")
     placed = cut(base.mapInArrow(_placed(shared, threshold), T.StructType([*base.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType()))])))
