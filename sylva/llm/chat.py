@@ -5,7 +5,7 @@ text), rendered once; what follows in each is its completion. A turn is rendered
 Masks are [start, end) code points of a completion that are learned from: the text and end mark of each assistant turn.
 
 Defined results: turns go by (turn, role, text), nulls first; a null role or text is as empty; rows without conv_id or
-turn belong to no conversation and are left out; repeated rows are repeated turns. A pair lacking one side is left
+turn belong to no conversation and are left out; repeated turns are turns of their own, repeated pairs are one pair. A pair lacking one side is left
 out; equal conversations have two empty completions. Other columns are not read. An empty table gives an empty result.
 A pair is one training example and must fit in a row, as any example must.
 """
@@ -43,7 +43,7 @@ def preferences(turns: DataFrame, pairs: DataFrame, role: str = "assistant") ->
     Two shuffles: sides meet their turns by conv_id, and a pair's turns by pair_id.
     """
     side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit(1).alias("side"), F.col("rejected_id").alias("conv_id")))).alias("s")
-    sides = pairs.select("pair_id", "chosen_id", "rejected_id", side).select("pair_id", "chosen_id", "rejected_id", "s.side", "s.conv_id")
+    sides = pairs.select("pair_id", "chosen_id", "rejected_id").distinct().select("pair_id", "chosen_id", "rejected_id", side).select("pair_id", "chosen_id", "rejected_id", "s.side", "s.conv_id")
     rows = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     met = sides.join(rows, "conv_id").groupBy("pair_id", "chosen_id", "rejected_id").agg(F.array_sort(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("all"))
     plain = lambda k: F.transform(F.filter("all", lambda t: t["side"] == k), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
