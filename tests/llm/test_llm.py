@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm import chat, decontaminate, embeddings, jaccard, language, pieces, pii, quality, sharding, toxicity
+from sylva.llm import _graph, chat, decontaminate, embeddings, jaccard, language, pieces, pii, quality, sharding, toxicity
 from sylva.llm._graph import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -44,10 +44,26 @@ def empty(docs):
     return docs.where("false")
 
 
+@pytest.mark.parametrize("hot", [3, 1 << 17])
+@pytest.mark.parametrize("path", [list(range(2, 61)) + [1], random.Random(5).sample(range(500), 500)], ids=["smallest last", "random"])
+def test_components_settle_chains_by_rounds(spark, monkeypatch, path, hot):
+    """Forests of a few hundred edges leave chains that span tasks, which rounds must join."""
+    monkeypatch.setattr(_graph, "HOT", hot)
+    links = spark.createDataFrame(list(itertools.pairwise(path)), "a long, b long")
+    got = components(links, most=len(path) // 6).collect()
+    assert sorted(r["id"] for r in got) == sorted(path) and {r["component"] for r in got} == {min(path)}
+
+
+@pytest.mark.parametrize("path", [range(500), range(500, 0, -1), [*range(2, 501), 1]], ids=["up", "down", "smallest last"])
+def test_components_of_long_chains(spark, path):
+    got = components(spark.createDataFrame(list(itertools.pairwise(path)), "a long, b long")).collect()
+    assert len(got) == 500 and {r["component"] for r in got} == {min(path)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 99), (7, 7), (3, 2)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
-    assert got == {**{k: 1 for k in range(1, 41)}, 99: 99, 100: 99}
+    assert got == {**{k: 1 for k in range(1, 41)}, 7: 1, 99: 99, 100: 99}
     assert components(links.where("false")).count() == 0
 
 
@@ -65,10 +81,12 @@ def test_jaccard_equals_brute_force(docs, texts):
             k = parent[k]
         return k
 
+    linked = set()
     for a, b in itertools.combinations(sorted(texts), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
+            linked.add((a, b))
     want = {k: (len(sets[k]), root(k)) for k in texts}
     rows = docs.union(docs.where("doc_id in (5, 200)")).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), "text", "n", "score", "component_id"))
     got = jaccard.near_duplicates(rows).collect()
@@ -76,6 +94,33 @@ def test_jaccard_equals_brute_force(docs, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
     assert jaccard.near_duplicates(empty(docs)).count() == 0
+    # every link between different texts, each by its smallest doc_id
+    first = {k: min(j for j in texts if sets[j] == sets[k]) for k in texts}
+    named = {(min(first[a], first[b]), max(first[a], first[b])) for a, b in linked if first[a] != first[b]}
+    assert sorted(map(tuple, jaccard.links(docs).collect())) == sorted(named) and named
+
+
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """Hundreds of near copies over many blocks, among strays that share half of their words."""
+    monkeypatch.setattr(jaccard, "PART_ROWS", 8)
+    rng = random.Random(12)
+    base = sentence(rng, 60).split()
+    rows = {}
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2]) if k % 5 else 4):
+            words[rng.randrange(60)] = f"edit{rng.randrange(9)}"
+        rows[k] = " ".join(words)
+    rows |= {k: " ".join(base[:30] + sentence(rng, 30).split()) for k in range(150, 180)}
+    sets = {k: shingles(t) for k, t in rows.items()}
+    want = {k: k for k in rows}
+    while True:
+        after = {k: min(want[j] for j in rows if 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j])) for k in rows}
+        if after == want:
+            break
+        want = after
+    got = jaccard.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
 def test_prefixes_of_linked_sets_meet():
@@ -95,7 +140,7 @@ def benchmark_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("most", [1_000_000, 7])
+@pytest.mark.parametrize("most", [1_000_000, 700])
 def test_decontaminate_equals_brute_force(spark, docs, texts, most):
     rng = random.Random(8)
     items = {1: " ".join((texts[5] or "").split()[3:20]), 2: "One! two", 3: "", 4: None, 10: sentence(rng, 30), 11: texts[9], 12: texts[9], 13: "éa éa éa éa"}
@@ -183,7 +228,7 @@ def test_language(spark):
     rng = random.Random(6)
     parts = {"aa": "the ing tion and er", "bb": "que los ción ñad es", "cc": "üng sch kei ße der"}
     rows = [(k, " ".join("".join(rng.choices(parts[g].split(), k=2)) for _ in range(rng.randrange(5, 60))), g) for k in range(300) for g in [sorted(parts)[k % 3]]]
-    rows += [(900, None, "aa"), (901, "", "aa"), (902, "123 !!", "bb"), (903, "the", None)]
+    rows += [(900, None, "aa"), (901, "", "aa"), (902, "123 !! \u00bd \u00b2 \u2460 _", "bb"), (903, "the", None)]
     data = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(language.training_rows(data))
     assert model.languages == ["aa", "bb", "cc"] and 0 < np.mean(model.weights == 0) < 1
@@ -216,7 +261,7 @@ def test_pieces_equal_the_library(spark):
     letters = list("abcdeinorst     ▁\n\té日本😀\x00<s>.,AB19")
     rows = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(500)]
     rows += ["".join(rng.choices(["members", "membre", "ing", "tion", " ", "  ", "ions", "ss"], k=rng.randrange(30))) for _ in range(500)]
-    rows += [" " * n for n in range(40)] + ["a" * 3000, "ab" * 2000, "<s></s><unk><0x0A>", "", None]
+    rows += [" " * n for n in range(40)] + ["a" * 3000, "ab" * 2000, " " * 100_000, "th" * 50_000, "and" * 30_000 + "  " * 500 + "end", "<s></s><unk><0x0A>", "", None]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     out = {r["doc_id"]: r for r in pieces.decode(pieces.tokenize(df, path), path).collect()}
     for k, t in enumerate(rows):
@@ -298,7 +343,7 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.where("vec_id >= 500 and vec_id < 506")).agg(F.sum("n_links")).head()[0] == 0
 
 
-def test_sharding(docs, texts):
+def test_sharding(spark, docs, texts):
     out = sharding.shards(docs.withColumn("slot", F.lit("clash")), count=7, bucket_bytes=2000).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(texts)
     assert all(r["text"] == texts[r["doc_id"]] for r in out)
@@ -311,15 +356,30 @@ def test_sharding(docs, texts):
     again = sharding.shards(docs.repartition(5), count=7, bucket_bytes=2000).collect()
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in again} == {(r["doc_id"], r["shard"], r["slot"]) for r in out}
     assert [r["doc_id"] for r in sorted(out, key=lambda r: (r["slot"], r["shard"]))] != sorted(texts)
+    nulls = spark.createDataFrame([(1, None), (1, ""), (None, "x"), (None, None), (1, "")], "doc_id long, text string")
+    one, two = (sharding.shards(nulls.repartition(n), count=2).collect() for n in (1, 3))
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 5
     twice = sharding.shards(docs.union(docs), count=7, bucket_bytes=2000)
     assert twice.count() == 2 * len(texts) and twice.select("shard", "slot").distinct().count() == 2 * len(texts)
     assert sharding.shards(empty(docs)).count() == 0
 
 
+def test_sharding_splits_repeated_records(spark):
+    rows = [(1, "same text")] * 3000 + [(None, None)] * 2000 + [(k, "other") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = sharding.scattered(df, bucket_bytes=2500).groupBy("bucket").count().toPandas()["count"]
+    assert sizes.sum() == 5500 and sizes.max() < 250
+    out = sharding.shards(df, count=7, bucket_bytes=2500).collect()
+    assert sorted((r["shard"], r["slot"]) for r in out) == sorted((k % 7, k // 7) for k in range(5500))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(str, rows))
+
+
 def test_chat(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "é?"), (0, 3, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "no"), (2, 0, "user", "x"), (3, 0, "user", "x"), (4, 0, None, None), (5, 0, "user", None), (None, 0, "user", "lost"), (6, None, "user", "lost"), (8, 0, "user", "alone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(1))
-    rows = {r["pair_id"]: r for r in chat.preferences(df, chat.neighbours(df)).collect()}
+    pairs = chat.neighbours(df)
+    rows = {r["pair_id"]: r for r in chat.preferences(df, pairs).collect()}
+    assert sorted(map(str, chat.preferences(df, pairs.union(pairs)).collect())) == sorted(map(str, rows.values()))
     assert sorted(rows) == [0, 1, 2]
     r = rows[0]
     assert r["prompt_turns"] == 2 and r["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n"
