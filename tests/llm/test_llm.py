@@ -411,3 +411,32 @@ def test_pipeline_keeps_rows_without_doc_id(spark, tmp_path):
     data = spark.createDataFrame([*rows, (40, rows[0][1] + " more", "en", "src", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, data, str(tmp_path)).collect()
     assert sorted(r["text"] for r in out) == sorted(r[1] for r in rows)
+    twice = data.union(data.where("doc_id < 5")).union(spark.createDataFrame([(1, "zzz another text", "en", "src", 9), (1, None, None, None, None)], data.schema))
+    got = corpus_pipeline.drop_near_duplicates(spark, twice, str(tmp_path)).where("doc_id is not null").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows if r[0])
+    assert corpus_pipeline.drop_near_duplicates(spark, data.where("false"), str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path, docs, texts):
+    """Near duplicates, decontamination and encoding on one fixture with nulls, empties and copies."""
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, " ".join((texts[9] or "").split()[2:14]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = docs.select("doc_id", "text")
+    sets = {k: shingles(t) for k, t in texts.items()}
+    near = {k: {j for j in texts if k == j or (sets[k] and 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j]))} for k in texts}
+    least = {k: k for k in texts}
+    for _ in texts:
+        least = {k: min(least[j] for j in near[k]) for k in texts}
+    kept = corpus_pipeline.drop_near_duplicates(spark, given, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(k for k in texts if least[k] == k)
+    window = benchmark_words(texts[9])[2:14]
+    parts = [window[k : k + 10] for k in range(3)]
+    hit = {k for k, t in texts.items() for w in [benchmark_words(t)] if any(w[p : p + 10] in parts for p in range(len(w)))}
+    clean = corpus_pipeline.drop_contaminated(spark, given, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in clean) == sorted(set(texts) - hit) and hit
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert all(r["ids"] == library.encode(r["text"] or "") for r in corpus_pipeline.encode(spark, given, str(tmp_path)).collect())
