@@ -1,9 +1,17 @@
-"""Lines of texts with Catalyst alone: places in bytes, indent columns, shapes, and where an offset falls."""
+"""Lines of texts: places in bytes, indent columns, shapes, and where an offset falls.
+
+``find``, ``past`` and ``seek`` work inside one text and count characters, as Spark's string functions do; lines count bytes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TAB = 8
 MAX_COLUMN = 65535
@@ -46,15 +54,41 @@ def shape(line: Column, last: Column, note: str) -> Column:
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, start, body, column, shape_hash, shape_slashes), places in bytes.
 
-    The starts are summed inside each row's own array, so nothing is shuffled. Null texts have no lines.
+    Starts come from one pass over each batch's bytes, linear in them; the rest is Catalyst's. Nothing is shuffled. Null
+    texts have no lines.
     """
-    parts = F.split(F.col(text), "\n", -1)
-    starts = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x) + 1)))
-    # a short text's starts are an array; the last one is past the end and pairs with no line
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.size(parts).alias("n"), F.posexplode(F.arrays_zip(parts.alias("line"), F.slice(starts, 1, F.size(parts)).alias("start"))).alias("line_no", "x"))
-    line, last = F.col("x.line"), F.col("line_no") == F.col("n") - 1
-    body = F.col("x.start") + F.octet_length(F.regexp_extract(line, "^[ \t]*", 0))
-    return rows.select(key, "line_no", F.col("x.start").alias("start"), body.alias("body"), column(line).alias("column"), shape(line, last, "#").alias("shape_hash"), shape(line, last, "//").alias("shape_slashes"))
+    given = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("line"))
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("n int, line_no int, start int, line string").fields])
+    rows = given.mapInArrow(_split, schema)
+    line, last = F.col("line"), F.col("line_no") == F.col("n") - 1
+    body = F.col("start") + F.octet_length(F.regexp_extract(line, "^[ \t]*", 0))
+    return rows.select(key, "line_no", "start", body.alias("body"), column(line).alias("column"), shape(line, last, "#").alias("shape_hash"), shape(line, last, "//").alias("shape_slashes"))
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each text with their starts: newlines are found in all bytes of a batch at once."""
+    for b in batches:
+        texts = b.column(1).cast(pa.large_binary())
+        if not len(texts):
+            continue
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8)
+        ends = np.flatnonzero(data[offsets[0] :] == 10) + offsets[0]
+        below = np.searchsorted(ends, offsets)  # newlines before each text
+        n = np.diff(below) + 1
+        total = np.concatenate([[0], np.cumsum(n)])
+        row = np.repeat(np.arange(len(n)), n)
+        line_no = np.arange(total[-1]) - total[row]
+        starts, stops = np.empty(total[-1], np.int64), np.empty(total[-1], np.int64)
+        starts[total[:-1]], stops[total[1:] - 1] = offsets[:-1], offsets[1:]
+        starts[line_no > 0], stops[np.delete(np.arange(total[-1]), total[1:] - 1)] = ends + 1, ends
+        # lines are slices of the same bytes, but for the newlines between them
+        plain = data[offsets[0] :][data[offsets[0] :] != 10]
+        at = np.concatenate([[0], np.cumsum(stops - starts)])
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(plain)]).cast(pa.large_string()).cast(pa.string())
+        key = b.column(0).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([key, pa.array(n[row], pa.int32()), pa.array(line_no, pa.int32()), pa.array(starts - offsets[row], pa.int32()), text], [b.schema.names[0], "n", "line_no", "start", "line"])
 
 
 def line_of(lines_: DataFrame, offsets: DataFrame, key: str = "doc_id") -> DataFrame:

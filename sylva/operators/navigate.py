@@ -60,7 +60,9 @@ def covering(nodes: DataFrame, ranges: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, of: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, ref, ancestor, ancestor_depth) for the nodes ``of`` (key, ref), by interval."""
+    """(key, ref, ancestor, ancestor_depth) for the nodes ``of`` (key, ref), by interval. Where the trees are still to be
+    parsed, the column ``above`` of ``trees.nodes`` gives the same without a join.
+    """
     low = of.join(nodes.select(key, "ref", "pre"), [key, "ref"]).select(key, "ref", F.col("pre").alias("__p"))
     up = nodes.select(key, F.col("ref").alias("ancestor"), F.col("pre").alias("__a"), F.col("last").alias("__l"), F.col("depth").alias("ancestor_depth"))
     return low.join(up, key).where((F.col("__a") < F.col("__p")) & (F.col("__p") <= F.col("__l"))).select(key, "ref", "ancestor", "ancestor_depth")
@@ -83,19 +85,19 @@ def sheet(nodes: DataFrame, key: str = KEY) -> DataFrame:
 
 def parens(nodes: DataFrame, key: str = KEY) -> DataFrame:
     """(key, k, open): the trees as balanced words. A node opens after all opened before and all closed before it."""
-    opens = nodes.select(key, F.lit(True).alias("open"), (2 * F.col("pre") - F.col("depth")).alias("k"))
-    closes = nodes.select(key, F.lit(False).alias("open"), (2 * F.col("last") - F.col("depth") + 1).alias("k"))
-    return opens.unionByName(closes)
+    word = lambda is_open, k: F.struct(F.lit(is_open).alias("open"), k.alias("k"))
+    both = F.array(word(True, 2 * F.col("pre") - F.col("depth")), word(False, 2 * F.col("last") - F.col("depth") + 1))
+    return nodes.select(key, F.explode(both).alias("w")).select(key, "w.open", "w.k")
 
 
 def survey(nodes: DataFrame, key: str = KEY) -> DataFrame:
-    """Soundness by document: nodes, and how many are loose (reached not once), out of order, or outside their parent."""
+    """Soundness by document: nodes, and how many are loose (outside their parent), out of order, or torn (reached not once)."""
     w = _run(key)
     up = nodes.select(key, F.col("ref").alias("parent"), F.col("start").alias("__s"), F.col("end").alias("__e"))
     rows = nodes.withColumns({"__before": F.lag("end").over(w), "__same": F.count(F.lit(1)).over(Window.partitionBy(key, "ref"))}).join(up, [key, "parent"], "left")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
-    loose = (F.col("__same") > 1) | (F.col("parent").isNotNull() & F.col("__s").isNull())
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nodes"), count(loose)("loose"), count(F.col("__before") > F.col("start"))("disorder"), count((F.col("start") < F.col("__s")) | (F.col("end") > F.col("__e")))("torn"))
+    torn = (F.col("__same") > 1) | (F.col("parent").isNotNull() & F.col("__s").isNull())
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nodes"), count((F.col("start") < F.col("__s")) | (F.col("end") > F.col("__e")))("loose"), count(F.col("__before") > F.col("start"))("disorder"), count(torn)("torn"))
 
 
 def outline(nodes: DataFrame, key: str = KEY) -> DataFrame:

@@ -6,7 +6,7 @@ operator here shuffles. Places are bytes of the UTF-8 text. Null texts give no r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,16 +67,65 @@ def rows_of(docs: DataFrame, make: Callable[[str], list[tuple]], schema: str, ke
     return docs.select(key, text).mapInArrow(run, out)
 
 
-def _node_rows(tree: Tree, text: str) -> list[tuple]:
-    place = _bytes_at(text)
-    none = lambda x: None if x < 0 else x
-    return [(pre, none(parent), k, none(named), depth, pre, last, n.kind, n.under, n.named, n.extra, n.renamed, n.field, place(n.start), place(n.end), len(n.kids)) for n, pre, parent, k, named, depth, last in flat(tree.roots)]
+def _none(x: int) -> int | None:
+    return None if x < 0 else x
 
 
-def nodes(docs: DataFrame, grammar: str, mend: str = "fell", **on) -> DataFrame:
-    """The trees' nodes, numbered in preorder, with the interval (pre, last) of each subtree."""
+#: Each column of node rows, from the rows of ``flat`` and the byte of a character's place.
+_COLUMNS: dict[str, Callable] = {
+    "ref": lambda rows, _: [r[1] for r in rows],
+    "parent": lambda rows, _: [_none(r[2]) for r in rows],
+    "ord": lambda rows, _: [r[3] for r in rows],
+    "named_ord": lambda rows, _: [_none(r[4]) for r in rows],
+    "depth": lambda rows, _: [r[5] for r in rows],
+    "pre": lambda rows, _: [r[1] for r in rows],
+    "last": lambda rows, _: [r[6] for r in rows],
+    **{k: lambda rows, _, k=k: [getattr(r[0], k) for r in rows] for k in ("kind", "under", "named", "extra", "renamed", "field")},
+    "start": lambda rows, place: [place(r[0].start) for r in rows],
+    "end": lambda rows, place: [place(r[0].end) for r in rows],
+    "kids": lambda rows, _: [len(r[0].kids) for r in rows],
+}
+
+
+def _above(rows: list) -> list[tuple[int, ...]]:
+    """The ancestors of each node, from the root down."""
+    out: list[tuple[int, ...]] = []
+    for r in rows:
+        out.append((*out[r[2]], r[2]) if r[2] >= 0 else ())
+    return out
+
+
+def nodes(docs: DataFrame, grammar: str, mend: str = "fell", columns: Iterable[str] | None = None, keep: Callable | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The trees' nodes, numbered in preorder, with the interval (pre, last) of each subtree.
+
+    ``columns`` names those that are wanted, ``above`` (the ancestors' refs, from the root down) among them; others are
+    not built. ``keep`` decides by node which rows leave the worker.
+    """
     p = Parser.of(grammar)
-    return rows_of(docs, lambda t: _node_rows(p.parse(t, mend), t), NODES, **on)
+    every = T.StructType.fromDDL(NODES + ", above array<int>")
+    wanted = [f.name for f in every.fields if f.name != "above"] if columns is None else list(columns)
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    types = [kinds[every[n].dataType.simpleString()] for n in wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, parts = [], [[] for _ in wanted]
+            for r in range(b.num_rows + 1):
+                if len(at) >= BATCH or at and r == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(parts, types, strict=True)]], [key, *wanted])
+                    at, parts = [], [[] for _ in wanted]
+                t = b.column(1)[r].as_py() if r < b.num_rows else None
+                if t is None:
+                    continue
+                rows, place = flat(p.parse(t, mend).roots), _bytes_at(t)
+                above = _above(rows) if "above" in wanted else []
+                if keep:
+                    rows = [x for x in rows if keep(x[0])]
+                at += [r] * len(rows)
+                for name, part in zip(wanted, parts, strict=True):
+                    part += [above[x[1]] for x in rows] if name == "above" else _COLUMNS[name](rows, place)
+
+    return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], *[every[n] for n in wanted]]))
 
 
 def tokens(docs: DataFrame, grammar: str, **on) -> DataFrame:

@@ -25,7 +25,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
+    """The events' properties, short JSON texts; parsing outweighs moving them, so every core gets some."""
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
+    return events.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,8 @@ def l5_tokens(spark, sf_dir):
 
 
 def t2_nodes(spark, sf_dir):
-    return trees.nodes(nested(spark, sf_dir), JSON).where("named").groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("deepest"))
+    nodes = trees.nodes(nested(spark, sf_dir), JSON, columns=("kind", "depth"), keep=lambda n: n.named)
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("deepest"))
 
 
 def t2_leaves(spark, sf_dir):
@@ -159,14 +162,16 @@ def n9_sizes(spark, sf_dir):
 
 
 def n15_ancestors(spark, sf_dir):
-    nodes = trees.nodes(nested(spark, sf_dir), JSON)
-    numbers = nodes.where("kind = 'number'").select("doc_id", "ref")
-    return navigate.ancestors(nodes, numbers).groupBy("doc_id").agg(F.count(F.lit(1)).alias("ancestors"))
+    numbers = trees.nodes(nested(spark, sf_dir), JSON, columns=("ref", "above"), keep=lambda n: n.kind == "number")
+    return numbers.select("doc_id", F.explode("above")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("ancestors"))
 
 
 def t16_survey(spark, sf_dir):
-    s = navigate.survey(trees.nodes(nested(spark, sf_dir), JSON))
-    return _long(s.agg(F.sum("loose").alias("loose"), F.sum("disorder").alias("disorder"), F.sum("torn").alias("torn"), F.count(F.lit(1)).alias("texts")))
+    """Trees, some of them broken: in every third the pairs overhang, in every fifth each number is reached twice."""
+    nodes = trees.nodes(nested(spark, sf_dir), JSON, columns=("ref", "parent", "ord", "kind", "start", "end"))
+    nodes = nodes.withColumn("end", F.when((F.col("kind") == "pair") & (F.col("doc_id") % 3 == 0), F.col("end") + 1000).otherwise(F.col("end")))
+    again = F.when((F.col("kind") == "number") & (F.col("doc_id") % 5 == 0), 2).otherwise(1)
+    return _long(navigate.survey(nodes.withColumn("__times", F.explode(F.array_repeat(F.lit(0), again)))).select("doc_id", "loose", "disorder", "torn"))
 
 
 def x8_child(spark, sf_dir):
@@ -193,7 +198,7 @@ def x15_greedy(spark, sf_dir):
 
 
 def a10_excess(spark, sf_dir):
-    words = navigate.parens(trees.nodes(nested(spark, sf_dir), JSON)).withColumn("step", F.when(F.col("open"), 1).otherwise(-1))
+    words = navigate.parens(trees.nodes(nested(spark, sf_dir), JSON, columns=("pre", "last", "depth"))).withColumn("step", F.when(F.col("open"), 1).otherwise(-1))
     return _long(fold.balanced(fold.excess(words)))
 
 
@@ -310,6 +315,9 @@ def p20_inquest(spark, sf_dir):
 _NESTED = f"WITH {NESTED_SQL} "
 _COUNTS = "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
 
+#: The lengths of the one key and the one number that an event's properties hold.
+_MEMBER = "WITH m AS (SELECT event_id AS doc_id, strlen(json_keys(props)[1]) AS k, strlen(props) - strlen(json_keys(props)[1]) - 6 AS v FROM events)"
+
 QUERIES = {f.__name__: f for f in (g4_lines, g5_indent, g6_shape, g7_line_of_offset, g8_after, g10_leads, g12_where, l5_tokens, t2_nodes, t2_leaves, t11_pages, t13_supplied, t17_parses, t16_survey, s13_sexp, s14_outline, s15_scars, n1_parent, n3_siblings, n6_by_field, n7_covering, n9_sizes, n15_ancestors, x8_child, x15_greedy, x21_order, a1_ordered, a10_excess, w2_replay, l17_offside, l25_book, a16_fold, a17_segments, i7_survey, w9_costs, p14_frayed, p16_unfolded, i1_conflicts, i4_census, i6_chain, p20_inquest)}
 QUERIES |= {
     "x7_negated": _tally("(number !key) @n"),
@@ -341,7 +349,8 @@ SQL = {
       ('string', (SELECT n FROM c WHERE type = 'VARCHAR') + (SELECT count(*) FROM j, json_tree(j.text) t WHERE t.key IS NOT NULL AND try_cast(t.key AS INT) IS NULL), 6),
       ('string_content', (SELECT n FROM c WHERE type = 'VARCHAR') + (SELECT count(*) FROM j, json_tree(j.text) t WHERE t.key IS NOT NULL AND try_cast(t.key AS INT) IS NULL), 7)) AS v(kind, nodes, deepest)""",
     "t13_supplied": "SELECT event_id AS doc_id, 'truncated' AS stop_kind, strlen(props) - 1 AS stop_at, 1 AS supplied, 0 AS skipped, 1 AS roots FROM events",
-    "t16_survey": f"{_NESTED} SELECT 0 AS loose, 0 AS disorder, 0 AS torn, count(*) AS texts FROM j",
+    "t16_survey": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3 + 2 * n ELSE 0 END AS loose, CASE WHEN doc_id % 3 = 0 THEN 3 + 2 * n ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 + 2 * n ELSE 0 END AS disorder,
+      CASE WHEN doc_id % 5 = 0 THEN 2 + 4 * n ELSE 0 END AS torn FROM ({_COUNTS})""",
     "n1_parent": f"""WITH c AS ({_COUNTS}), o AS (SELECT count(*) AS o, sum(n) AS l FROM c) SELECT kind, parent_kind, CAST(nodes AS BIGINT) AS nodes FROM o, LATERAL (VALUES ('document', NULL, o), ('object', 'document', o), ('pair', 'object', 3 * o + 2 * l), ('string', 'pair', 4 * o + 2 * l),
       ('string_content', 'string', 4 * o + 2 * l), ('number', 'pair', o + 2 * l), ('array', 'pair', o), ('object', 'array', l)) AS v(kind, parent_kind, nodes) WHERE nodes > 0""",
     "n3_siblings": f"SELECT doc_id, n - 1 AS followed, n - 1 AS preceded FROM ({_COUNTS}) WHERE n > 0",
@@ -361,6 +370,16 @@ SQL = {
     "x21_order": """SELECT doc_id, 2 * (r - 1) + k AS match, CASE k WHEN 0 THEN CAST(l_linenumber AS VARCHAR) ELSE CAST(l_partkey AS VARCHAR) END AS value FROM (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey,
       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), (VALUES (0), (1)) AS v(k)""",
     "x23_tally": f"SELECT doc_id, 7 + 5 * n AS matches FROM ({_COUNTS})",
+    "a10_excess": f"SELECT doc_id, 0 AS total, 0 AS low, CASE n WHEN 0 THEN 5 ELSE 8 END AS high, true AS balanced FROM ({_COUNTS})",
+    "t17_parses": """SELECT event_id AS doc_id, 'accepted' AS stop_kind, strlen(props) AS stop_at, CAST(NULL AS VARCHAR) AS stop_symbol, CAST(NULL AS BIGINT) AS stop_state,
+      1 AS roots, 0 AS mends, 0 AS skipped, 0 AS supplied, 0 AS spurned FROM events""",
+    "s13_sexp": """SELECT sexp, count(*) AS texts FROM (SELECT '(document (object' || string_agg(' (pair key: (string (string_content)) value: (' || CASE json_type(props, '$.' || k) WHEN 'VARCHAR' THEN 'string (string_content)' WHEN 'BOOLEAN' THEN props->>('$.' || k)
+      WHEN 'NULL' THEN 'null' ELSE 'number' END || '))', '' ORDER BY i) || '))' AS sexp FROM (SELECT event_id, props, unnest(json_keys(props)) AS k, generate_subscripts(json_keys(props), 1) AS i FROM events) GROUP BY event_id) GROUP BY 1""",
+    "t2_leaves": f"""{_MEMBER} SELECT doc_id, CAST(a AS BIGINT) AS start, CAST(n AS BIGINT) AS size FROM m, LATERAL (VALUES (0, 1), (1, 1), (2, k), (2 + k, 1), (3 + k, 1), (5 + k, v), (5 + k + v, 1)) AS x(a, n)""",
+    "s14_outline": f"""{_MEMBER} SELECT doc_id, pre, repeat('  ', depth) || what || ' [' || CAST(a AS BIGINT) || ', ' || CAST(b AS BIGINT) || ')' AS line FROM m, LATERAL (VALUES (0, 0, 'document', 0, 6 + k + v), (1, 1, 'object', 0, 6 + k + v), (3, 2, 'pair', 1, 5 + k + v),
+      (4, 3, 'key: string', 1, 3 + k), (6, 4, 'string_content', 2, 2 + k), (9, 3, 'value: number', 5 + k, 5 + k + v)) AS x(pre, depth, what, a, b)""",
+    "s15_scars": f"""{_MEMBER} SELECT doc_id, 0 AS ord, k + 5 AS "at", k + 5 AS over, '"' AS gave, 1 AS heads, 5 AS shifted, false AS felled, 'supplied' AS why FROM m""",
+    "x12_group": f"SELECT doc_id, n // 2 AS matches FROM ({_COUNTS}) WHERE n > 1",
     "p14_frayed": "SELECT * FROM (VALUES ('d', 'fold_dropped'), ('e', 'fold_dropped')) AS v(terminal, harm)",
     "p16_unfolded": "SELECT * FROM (VALUES ('merged', 2::BIGINT, false), ('used', 0::BIGINT, true)) AS v(tables, conflicts, grown)",
     "l17_offside": """SELECT o_custkey AS doc_id, CAST(1 + count(*) + sum(n) AS BIGINT) AS items, 1 + count(*) FILTER (n > 0) AS blocks FROM orders
