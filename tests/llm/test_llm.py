@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm import _graph, chat, decontaminate, embeddings, jaccard, language, pieces, pii, quality, sharding, toxicity
+from sylva.llm import _graph, _text, chat, decontaminate, embeddings, jaccard, language, pieces, pii, quality, sharding, toxicity
 from sylva.llm._graph import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -243,6 +243,73 @@ def test_language(spark):
     assert language.identify(data.where("false"), model).count() == 0
 
 
+def plain_hash(word):
+    """A word's 64-bit hash, byte by byte."""
+    total = sum(int(_text.FOLDED[b]) * pow(int(_text._BASE), k, 1 << 64) for k, b in enumerate(word))
+    return int(_text.mix(np.array([total & (1 << 64) - 1], np.uint64))[0])
+
+
+def plain_mix(x):
+    return int(_text.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+
+
+SCORED = ["The cat  sat on the cat", "", None, "é\tÀ9 | x-ray (yes) YES yes", "one", "a b " * 40, "日本 語! " * 7, "\n ", "insult group, group insult"]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    model = quality.QualityModel(rng.normal(size=quality.SIZE).astype(np.float32), 0.25)
+    out = {r["k"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(SCORED)), "k int, text string"), model).collect()}
+    for k, t in enumerate(SCORED):
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode()) if w]
+        hashes, shapes = [plain_hash(w) for w in words], []
+        for j, w in enumerate(words):
+            kinds = [int(quality._KIND[b]) for b in w]
+            seen = 0
+            for x in kinds:
+                seen |= x
+            again = int(j > 0 and hashes[j] == hashes[j - 1])
+            shapes.append(plain_mix(seen | kinds[0] << 8 | kinds[-1] << 16 | again << 24 | min(len(w), 31) // 8 << 25))
+        total = 0.0
+        for family, (h, n) in enumerate(((hashes, 1), (hashes, 2), (shapes, 1), (shapes, 2))):
+            for j in range(len(h) - n + 1):
+                gram = plain_mix(sum(h[j + i] * int(_text.PLACE[i]) for i in range(n)))
+                total += float(model.weights[plain_mix(gram + family + 1) >> 64 - quality.BITS])
+        assert out[k] == pytest.approx(1 / (1 + np.exp(-np.clip(0.25 + total * quality.SCALE / max(1, len(words)), -35, 35))), abs=1e-5)
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda *n: rng.normal(0, 0.4, n).astype(np.float32)
+    model = toxicity.ToxicityModel(-0.5, draw(toxicity.SIZE), draw(toxicity.SIZE, toxicity.FACTORS), np.abs(draw(toxicity.SIZE)))
+    out = {r["k"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(SCORED)), "k int, text string"), model).collect()}
+    for k, t in enumerate(SCORED):
+        terms = sorted({plain_hash(w) >> 64 - toxicity.BITS for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())})
+        total = -0.5 + sum(float(model.linear[i] * model.value[i]) for i in terms)
+        for i, j in itertools.combinations(terms, 2):
+            total += float(model.factors[i] @ model.factors[j] * model.value[i] * model.value[j])
+        assert out[k] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-5)
+
+
+def test_language_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(13)
+    model = language.LanguageModel(["aa", "bb", "cc"], rng.normal(0, 3, (language.SIZE, 3)).astype(np.float32), np.array([0.1, 0.0, -0.2]), 1.7)
+    out = {r["k"]: r for r in language.identify(spark.createDataFrame(list(enumerate(SCORED)), "k int, text string"), model).collect()}
+    for k, t in enumerate(SCORED):
+        points, total, n = [ord(c) for c in (t or "").lower()], np.zeros(3), 0
+        for order in language.ORDERS:
+            for i in range(len(points) - order + 1):
+                h = order * 0x9E3779B1 & 0xFFFFFFFF
+                for c in points[i : i + order]:
+                    h = (h ^ c) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 15
+                total += model.weights[h >> 32 - language.BITS]
+                n += 1
+        e = np.exp((total / max(1, n) + model.bias) / model.temperature)
+        want = ("und", 0.0) if not any(c.isalpha() for c in t or "") else (model.languages[int(e.argmax())], e.max() / e.sum())
+        assert out[k]["lang_pred"] == want[0] and out[k]["score"] == pytest.approx(want[1], abs=1e-5)
+
+
 def test_grams_stay_inside_texts():
     rows = ["abc", "", "Da", "xyzw", "é", "ÀB"]
     together = language._grams(rows)
@@ -310,6 +377,51 @@ def test_pii_base_spans_and_model(spark):
     assert pii.detect(df.where("false"), fresh).count() == 0 and pii.detect(df, fresh).count() == len(PII_TEXTS)
 
 
+def test_pii_votes_recover_planted_reliabilities():
+    """EM over votes of labelers that are right as often as planted, on truths that it never sees."""
+    rng = random.Random(21)
+    right = dict(zip(pii.LABELERS, (0.95, 0.85, 0.75, 0.65), strict=True))
+    counts, truths = {}, {}
+    for _ in range(40_000):
+        truth = rng.random() < 0.6
+        votes = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < r) == truth else -1) for r in right.values())
+        counts[votes] = counts.get(votes, 0) + 1
+        truths[votes] = truths.get(votes, 0) + truth
+    rows = sorted(("phone", v, n) for v, n in counts.items())
+    found, posterior = pii.aggregate_votes(rows)
+    assert all(abs(found[k] - r) < 0.05 for k, r in right.items()), found
+    # the posterior of each vote pattern is the share of true spans among it
+    off = sum(n * abs(p - truths[v] / n) for p, (_, v, n) in zip(posterior, rows, strict=True)) / 40_000
+    assert off < 0.06
+
+
+def test_pii_adds_planted_spans(spark):
+    """Loose phones and spelled-out mails among numbers that look like them: precision and recall of what is added."""
+    rng = random.Random(22)
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    rows, planted = [], {}
+    for k in range(300):
+        kind = k % 4
+        if kind == 0:
+            body, lead = number(), "please call "
+        elif kind == 1:
+            body, lead = f"{rng.choice(WORDS)} [at] mail (dot) com", "contact "
+        elif kind == 2:
+            body, lead = number(), "order "
+        else:
+            body, lead = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", "call "
+        text = f"{sentence(rng, 5)} {lead}{body} {sentence(rng, 5)}"
+        rows.append((k, text))
+        if kind < 2:
+            planted[k] = (text.index(body), text.index(body) + len(body))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.detect(df, pii.fit(df)).collect()}
+    added = {(k, s["start"], s["end"]) for k, r in out.items() for s in r["spans"] if tuple(s) not in set(map(tuple, r["base"]))}
+    true = {(k, *span) for k, span in planted.items()}
+    print("added", len(added), "of", len(true), "planted, right", len(added & true))
+    assert len(added & true) >= 0.9 * len(true) and len(added & true) >= 0.9 * len(added)
+
+
 def test_pii_stays_native(spark):
     plan = pii.detect(spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string"), pii.SpanModel({}, 0.0, {"kind=ip": 1.0}))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString().replace("LocalTableScan", ""))
