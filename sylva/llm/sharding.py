@@ -30,6 +30,7 @@ SHARDS = 40
 BUCKET_BYTES = 8 << 20
 #: Buckets of a small table, so that tasks share it.
 MIN_BUCKETS = 64
+TASK_BUCKETS = 4
 SEED = 77
 RECORD_BYTES = 16
 
@@ -44,8 +45,8 @@ def _hash(seed: int, field: T.StructField) -> list[Column]:
     return [c.isNull(), F.array_sort(F.map_entries(c)) if isinstance(field.dataType, T.MapType) else c]
 
 
-def scattered(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Pass 1: docs with the hash of each record and its bucket."""
+def scattered(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+    """Pass 1: docs with the hash of each record and its bucket; the number of buckets."""
     given = docs.drop("record_hash", "bucket")
     given = given.withColumn("record_hash", F.xxhash64(F.lit(seed), *[x for f in given.schema.fields for x in _hash(seed, f)]))
     # a few bytes a distinct record; repeated ones of half a bucket are at most two for each bucket
@@ -69,12 +70,12 @@ def scattered(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_byte
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nth, pa.int64())], [*b.schema.names, "__nth"])
 
     again = again.mapInArrow(numbered, schema).select(*given.columns, bucket(F.struct("__task", "__nth")))
-    return usual.select(*given.columns, "bucket").unionByName(again)
+    return usual.select(*given.columns, "bucket").unionByName(again), buckets
 
 
 def shuffled(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Both passes: docs with ``bucket`` and ``place``, a record's place in its bucket after the shuffle."""
-    base = scattered(docs.drop("place"), text, seed, bucket_bytes)
+    base, buckets = scattered(docs.drop("place"), text, seed, bucket_bytes)
     schema = T.StructType([*[f for f in base.schema.fields if f.name != "record_hash"], T.StructField("place", T.LongType())])
 
     def fisher_yates(t: pa.Table) -> pa.Table:
@@ -86,7 +87,8 @@ def shuffled(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes
         t = t.drop_columns("record_hash").take(pa.array(order[place], pa.int64()))
         return t.append_column("place", pa.array(np.arange(t.num_rows), pa.int64()))
 
-    return base.groupBy("bucket").applyInArrow(fisher_yates, schema)
+    # tasks of a few buckets each, however many there are
+    return base.repartition(-(-buckets // TASK_BUCKETS), "bucket").groupBy("bucket").applyInArrow(fisher_yates, schema)
 
 
 def shards(docs: DataFrame, text: str = "text", count: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
