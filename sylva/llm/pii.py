@@ -10,9 +10,12 @@ on each candidate:
 * border: whether the span stands free or touches a letter, digit or sign of a longer token.
 
 Expectation-maximisation over the counts of vote patterns (at most 3^4 for each kind, whatever the input's size)
-estimates how reliable each labeler is; the posteriors then train a logistic span classifier over votes, their pairs
-with the pattern vote and kinds. Base spans stay in any case; a candidate that overlaps none of them is added when the classifier
-gives it at least ``LEAST_SCORE``.
+estimates how reliable each labeler is. The posteriors then train a logistic span classifier over kinds, votes, their pairs
+with the pattern vote, and hashed features of form and context that no labeler knows: the form's shape, length and domain or
+first digits, two words before it and one after. These learn from candidates that the pattern's check passes or fails, and so
+decide among the looser ones, on which votes are often alike. Base spans stay in any case; a candidate that overlaps none of
+them is added when the classifier gives it at least ``LEAST_SCORE``. Votes are counted over all candidates; the classifier is
+fitted on at most ``SAMPLE`` distinct ones of each kind and pattern of votes, by hash order (4 * 81 * 64 rows at most).
 
 Defined results: null is as empty; texts without candidates have no spans and the digest of the empty text. Offsets
 are code points, ends exclusive. Patterns are possessive, so very long runs neither overflow the stack nor backtrack.
@@ -23,17 +26,21 @@ Columns named like a result are replaced.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "cue", "border")
 LEAST_SCORE = 0.6
+SAMPLE = 64
+#: Slots of the hashed features of form and context.
+SLOTS = 2048
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns in forms that match the same spans without backtracking: a run that failed at its start fails at
 #: every later place, so a search starts only at a run's start or where the last match ended.
@@ -112,14 +119,31 @@ def _votes(text: Column, s: Column, form_vote: Column) -> list[Column]:
     return [form_vote, gazetteer, cue, border]
 
 
+def _hashed(text: Column, s: Column) -> Column:
+    """Slots of a candidate's form and context."""
+    kind, form = s["kind"], s["form"]
+    before = F.lower(F.substring(text, F.greatest(s["start"] - 29, F.lit(1)), F.least(s["start"], F.lit(30))))
+    after = F.lower(F.substring(text, s["end"] + 1, F.lit(20)))
+    shape = F.substring(F.regexp_replace(F.regexp_replace(form, "[0-9]+", "9"), "[A-Za-z]+", "a"), 1, 30)
+    seen = {
+        "shape": shape,
+        "length": F.least(F.when(kind == "email", F.length(form)).otherwise(F.length(F.regexp_replace(form, "[^0-9]", ""))), F.lit(40)).cast("string"),
+        "head": F.when(kind == "email", F.lower(F.regexp_extract(form, r"([A-Za-z0-9-]+[^A-Za-z0-9-]+[A-Za-z0-9-]+)$", 1))).otherwise(F.substring(F.regexp_replace(form, "[^0-9]", ""), 1, 2)),
+        "before": F.regexp_extract(before, r"(\p{L}+)\P{L}*$", 1),
+        "second": F.regexp_extract(before, r"(\p{L}+)\P{L}+\p{L}+\P{L}*$", 1),
+        "after": F.regexp_extract(after, r"^\P{L}*(\p{L}+)", 1),
+    }
+    return F.array(*[F.pmod(F.xxhash64(F.lit(name), kind, v), F.lit(SLOTS)).cast("int") for name, v in seen.items()])
+
+
 def candidates(text: Column) -> Column:
-    """All candidates of a text with ``base`` (pattern and check hold) and one vote of each labeler."""
+    """All candidates of a text with ``base`` (pattern and check hold), one vote of each labeler and the hashed features."""
     strict = F.concat(*[_found(text, BASE[k], _NEEDS[k](text), k) for k in KINDS])
     loose = F.concat(*[_found(text, LOOSE[k], _LOOSE_NEEDS[k](text), k) for k in LOOSE])
 
     def voted(s: Column, base: Column, form_vote: Column) -> Column:
         votes = [v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(text, s, form_vote), strict=True)]
-        return F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), base.alias("base"), *votes)
+        return F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), base.alias("base"), *votes, _hashed(text, s).alias("hashed"))
 
     return F.concat(
         F.transform(strict, lambda s: voted(s, passes(s["kind"], s["form"]), F.when(passes(s["kind"], s["form"]), 1).otherwise(-1))),
@@ -129,11 +153,12 @@ def candidates(text: Column) -> Column:
 
 @dataclass
 class SpanModel:
-    """Reliability of each labeler, and the classifier: a weight for each (feature, value)."""
+    """Reliability of each labeler, and the classifier: a weight for each (feature, value) and for each slot."""
 
     reliability: dict[str, float]
     bias: float
     weights: dict[str, float]
+    slots: tuple[float, ...] = ()
 
 
 def _features(kind: str, votes: tuple[int, ...]) -> list[str]:
@@ -143,45 +168,68 @@ def _features(kind: str, votes: tuple[int, ...]) -> list[str]:
 def aggregate_votes(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict[str, float], list[float]]:
     """Expectation-maximisation: (reliability of each labeler, posterior of each vote pattern).
 
-    One reliability a labeler, the chance that a vote given is right, with a Beta prior that breaks the symmetry.
+    One reliability a labeler, the chance that a vote given is right, with a Beta prior that breaks the symmetry, and one
+    share of true spans a kind, so that a flood of digits that are no cards says nothing of phones.
     """
-    right = [0.9, 0.75, 0.75, 0.7]
-    prior, posterior = 0.5, [0.5] * len(counts)
+    right, first = [0.9, 0.75, 0.75, 0.7], (0.9, 0.75, 0.75, 0.7)
+    prior, posterior = dict.fromkeys((kind for kind, *_ in counts), 0.5), [0.5] * len(counts)
     strength = 0.02 * sum(n for *_, n in counts) + 10
     for _ in range(rounds):
-        for k, (_, votes, _) in enumerate(counts):
-            odds = math.log(prior / (1 - prior)) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, right, strict=True))
+        true, total = dict.fromkeys(prior, 1.0), dict.fromkeys(prior, 2.0)
+        for k, (kind, votes, n) in enumerate(counts):
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, right, strict=True))
             posterior[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        total = sum(n for *_, n in counts)
-        prior = min(0.95, max(0.05, (sum(p * n for p, (*_, n) in zip(posterior, counts, strict=True)) + 1) / (total + 2)))
-        for j, first in enumerate((0.9, 0.75, 0.75, 0.7)):
+            true[kind] += posterior[k] * n
+            total[kind] += n
+        prior = {kind: min(0.95, max(0.05, true[kind] / total[kind])) for kind in prior}
+        for j in range(len(LABELERS)):
             good = sum(n * (p if votes[j] > 0 else 1 - p) for p, (_, votes, n) in zip(posterior, counts, strict=True) if votes[j])
             given = sum(n for _, votes, n in counts if votes[j])
-            right[j] = min(0.98, max(0.52, (good + first * strength) / (given + strength)))
+            right[j] = min(0.98, max(0.52, (good + first[j] * strength) / (given + strength)))
     return dict(zip(LABELERS, right, strict=True)), posterior
 
 
-def fit(docs: DataFrame, text: str = "text", epochs: int = 300) -> SpanModel:
-    """Reliabilities and classifier from all candidates of docs; only counts of vote patterns reach the driver."""
+def fit(docs: DataFrame, text: str = "text", epochs: int = 20) -> SpanModel:
+    """Reliabilities and classifier; counts of vote patterns and the classifier's bounded sample reach the driver."""
     found = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-    rows = found.groupBy("c.kind", *[f"c.{n}" for n in LABELERS]).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = sorted((r["kind"], tuple(r[n] for n in LABELERS), r["n"]) for r in rows)
+    pattern = ["kind", *LABELERS]
+    seen = cut(found.select("c.kind", *[f"c.{n}" for n in LABELERS], "c.hashed").groupBy(*pattern, "hashed").agg(F.count(F.lit(1)).alias("n")))
+    counts = sorted((r["kind"], tuple(r[n] for n in LABELERS), r["n"]) for r in seen.groupBy(*pattern).agg(F.sum("n").alias("n")).collect())
     reliability, posterior = aggregate_votes(counts)
-    weights, bias = {f: 0.0 for kind, votes, _ in counts for f in _features(kind, votes)}, 0.0
-    mass = [math.log1p(n) for *_, n in counts]
-    for _ in range(epochs):  # batch gradient over vote patterns, their counts damped so that rare ones teach too
-        slope, slope_bias = dict.fromkeys(weights, 0.0), 0.0
-        for (kind, votes, _), p, m in zip(counts, posterior, mass, strict=True):
-            fs = _features(kind, votes)
-            g = m * (1 / (1 + math.exp(-bias - sum(weights[f] for f in fs))) - p)
-            slope_bias += g
+    likely = {(kind, votes): p for (kind, votes, _), p in zip(counts, posterior, strict=True)}
+    by_hash = Window.partitionBy(*pattern).orderBy(F.xxhash64("hashed"), "hashed")
+    taught = seen.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= SAMPLE).collect()
+    rows = sorted((r["kind"], tuple(r[n] for n in LABELERS), tuple(r["hashed"]), r["n"]) for r in taught)
+    return SpanModel(reliability, *_classifier(rows, likely, epochs))
+
+
+def _logistic(lessons: list[tuple[list, float, float]], epochs: int) -> dict[str | int, float]:
+    """Weights of features that give each lesson's target (features, target, weight), by AdaGrad in a seeded order."""
+    weights = dict.fromkeys((f for fs, *_ in lessons for f in fs), 0.0)
+    squares, lessons, dice = dict.fromkeys(weights, 1.0), list(lessons), random.Random(7)
+    for _ in range(epochs):
+        dice.shuffle(lessons)
+        for fs, p, mass in lessons:
+            slope = mass * (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in fs))))) - p)
             for f in fs:
-                slope[f] += g
-        rate = 0.5 / max(1.0, sum(mass))
-        bias -= rate * slope_bias
-        for f in weights:
-            weights[f] -= rate * (slope[f] + 0.05 * weights[f])
-    return SpanModel(reliability, bias, weights)
+                g = slope + 0.002 * weights[f]
+                squares[f] += g * g
+                weights[f] -= 0.2 * g / math.sqrt(squares[f])
+    return weights
+
+
+def _classifier(rows: list[tuple], likely: dict[tuple, float], epochs: int) -> tuple[float, dict[str, float], tuple[float, ...]]:
+    """(bias, weights of votes, weights of slots), counts damped so that rare rows teach too.
+
+    Votes learn from all rows. Slots learn, beside their kind, from those on which the pattern's check has a say, and so say
+    how far form and context move a candidate from its kind's usual case.
+    """
+    damped: dict[tuple, int] = {}
+    for kind, votes, _, n in rows:
+        damped[kind, votes] = damped.get((kind, votes), 0) + n
+    weights = _logistic([(["bias", *_features(*key)], likely[key], math.log1p(n)) for key, n in damped.items()], 10 * epochs)
+    slots = _logistic([([f"kind={kind}", *at], likely[kind, votes], math.log1p(n)) for kind, votes, at, n in rows if votes[0]], epochs)
+    return weights.pop("bias", 0.0), weights, tuple(slots.get(k, 0.0) for k in range(SLOTS))
 
 
 def _score(model: SpanModel, s: Column) -> Column:
@@ -189,6 +237,9 @@ def _score(model: SpanModel, s: Column) -> Column:
     for f, w in sorted(model.weights.items()):
         holds = reduce(lambda a, b: a & b, [s[n] == (v if n == "kind" else int(v)) for n, v in (x.split("=") for x in f.split(","))])
         total = total + F.when(holds, w).otherwise(0.0)
+    if model.slots:
+        slots = F.split(F.lit(",".join(map(repr, model.slots))), ",").cast("array<double>")
+        total = total + F.aggregate(s["hashed"], F.lit(0.0), lambda acc, k: acc + F.element_at(slots, k + 1))
     return 1 / (1 + F.exp(-total))
 
 

@@ -422,6 +422,22 @@ def test_pii_adds_planted_spans(spark):
     assert len(added & true) >= 0.9 * len(true) and len(added & true) >= 0.9 * len(added)
 
 
+def test_pii_context_decides_where_votes_are_alike(spark):
+    """Two words that no labeler knows, one met beside valid phones and one beside failing ones, tell loose numbers apart."""
+    rng = random.Random(23)
+    digits = lambda n: str(rng.randrange(2 * 10 ** (n - 1), 10**n))
+    loose = lambda: f"{digits(3)}.{rng.randrange(200, 554)}.{digits(4)}"
+    bodies = [("hotline", f"+{rng.choice(['1', '99'])} ({digits(3)}) {digits(3)}-{digits(4)}") for _ in range(200)] + [("gauge", f"+99 ({digits(2)}) {digits(2)}-{digits(2)}") for _ in range(200)]
+    bodies += [(w, loose()) for w in ("hotline", "gauge") for _ in range(50)]
+    df = spark.createDataFrame([(k, f"{sentence(rng, 4)} {w} {b} {sentence(rng, 4)}", w) for k, (w, b) in enumerate(bodies)], "doc_id long, text string, w string")
+    model = pii.fit(df)
+    added = {r["w"]: r["n"] for r in pii.detect(df, model).where("doc_id >= 400").groupBy("w").agg(F.sum(F.size("spans")).alias("n")).collect()}
+    print(added)
+    assert added["hotline"] >= 45 and added["gauge"] <= 5
+    votes_alone = {r["w"]: r["n"] for r in pii.detect(df, replace(model, slots=())).where("doc_id >= 400").groupBy("w").agg(F.sum(F.size("spans")).alias("n")).collect()}
+    assert votes_alone["hotline"] == votes_alone["gauge"]
+
+
 def test_pii_stays_native(spark):
     plan = pii.detect(spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string"), pii.SpanModel({}, 0.0, {"kind=ip": 1.0}))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString().replace("LocalTableScan", ""))
