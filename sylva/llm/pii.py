@@ -169,19 +169,20 @@ def aggregate_votes(counts: list[tuple[str, tuple[int, ...], int]], rounds: int
     """Expectation-maximisation: (reliability of each labeler, posterior of each vote pattern).
 
     One reliability a labeler, the chance that a vote given is right, with a Beta prior that breaks the symmetry, and one
-    share of true spans a kind, so that a flood of digits that are no cards says nothing of phones.
+    share of true spans a kind, so that a flood of digits that are no cards says nothing of phones. Before its votes no
+    candidate is held likelier true than not, whatever its kind's share.
     """
-    right, first = [0.9, 0.75, 0.75, 0.7], (0.9, 0.75, 0.75, 0.7)
-    prior, posterior = dict.fromkeys((kind for kind, *_ in counts), 0.5), [0.5] * len(counts)
+    first = (0.9, 0.75, 0.75, 0.7)
+    right, posterior, shares = list(first), [0.5] * len(counts), dict.fromkeys((kind for kind, *_ in counts), 0.5)
     strength = 0.02 * sum(n for *_, n in counts) + 10
     for _ in range(rounds):
-        true, total = dict.fromkeys(prior, 1.0), dict.fromkeys(prior, 2.0)
+        true, total = dict.fromkeys(shares, 1.0), dict.fromkeys(shares, 2.0)
         for k, (kind, votes, n) in enumerate(counts):
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, right, strict=True))
+            odds = math.log(shares[kind] / (1 - shares[kind])) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, right, strict=True))
             posterior[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
             true[kind] += posterior[k] * n
             total[kind] += n
-        prior = {kind: min(0.95, max(0.05, true[kind] / total[kind])) for kind in prior}
+        shares = {kind: min(0.5, max(0.05, true[kind] / total[kind])) for kind in shares}
         for j in range(len(LABELERS)):
             good = sum(n * (p if votes[j] > 0 else 1 - p) for p, (_, votes, n) in zip(posterior, counts, strict=True) if votes[j])
             given = sum(n for _, votes, n in counts if votes[j])
