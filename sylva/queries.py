@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lines as L
-from .operators import fold, navigate, segments, trees
+from .operators import fold, navigate, report, segments, trees
 from .plans import tables as tables_
 from .plans.parser import Parser
 from .sources import store
@@ -312,13 +312,35 @@ def p20_inquest(spark, sf_dir):
     return trees.parses(broken, JSON, mend="none").groupBy(owner.alias("owner"), "stop_symbol", "stop_state").agg(F.count(F.lit(1)).alias("texts"))
 
 
+def s16_json(spark, sf_dir):
+    return report.matches_json(props(spark, sf_dir), JSON, PAIRS)
+
+
+def s16_parses(spark, sf_dir):
+    """Parses of properties without their last brace, as JSON."""
+    cut = props(spark, sf_dir).select("doc_id", F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+    return report.parses_json(cut, JSON)
+
+
+def x22_excerpt(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", report.excerpt(F.col("text")).alias("excerpt"))
+
+
+def i3_state(spark, sf_dir):
+    return report.state(spark, JSON, 0)
+
+
+def i5_holding(spark, sf_dir):
+    return report.holding(spark, JSON, "-> object .")
+
+
 _NESTED = f"WITH {NESTED_SQL} "
 _COUNTS = "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
 
 #: The lengths of the one key and the one number that an event's properties hold.
 _MEMBER = "WITH m AS (SELECT event_id AS doc_id, strlen(json_keys(props)[1]) AS k, strlen(props) - strlen(json_keys(props)[1]) - 6 AS v FROM events)"
 
-QUERIES = {f.__name__: f for f in (g4_lines, g5_indent, g6_shape, g7_line_of_offset, g8_after, g10_leads, g12_where, l5_tokens, t2_nodes, t2_leaves, t11_pages, t13_supplied, t17_parses, t16_survey, s13_sexp, s14_outline, s15_scars, n1_parent, n3_siblings, n6_by_field, n7_covering, n9_sizes, n15_ancestors, x8_child, x15_greedy, x21_order, a1_ordered, a10_excess, w2_replay, l17_offside, l25_book, a16_fold, a17_segments, i7_survey, w9_costs, p14_frayed, p16_unfolded, i1_conflicts, i4_census, i6_chain, p20_inquest)}
+QUERIES = {f.__name__: f for f in (g4_lines, g5_indent, g6_shape, g7_line_of_offset, g8_after, g10_leads, g12_where, l5_tokens, t2_nodes, t2_leaves, t11_pages, t13_supplied, t17_parses, t16_survey, s13_sexp, s14_outline, s15_scars, n1_parent, n3_siblings, n6_by_field, n7_covering, n9_sizes, n15_ancestors, x8_child, x15_greedy, x21_order, a1_ordered, a10_excess, w2_replay, l17_offside, l25_book, a16_fold, a17_segments, i7_survey, w9_costs, p14_frayed, p16_unfolded, i1_conflicts, i4_census, i6_chain, p20_inquest, s16_json, s16_parses, x22_excerpt, i3_state, i5_holding)}
 QUERIES |= {
     "x7_negated": _tally("(number !key) @n"),
     "x9_anchor": _tally("(array . (object) @first)"),
@@ -380,6 +402,11 @@ SQL = {
       (4, 3, 'key: string', 1, 3 + k), (6, 4, 'string_content', 2, 2 + k), (9, 3, 'value: number', 5 + k, 5 + k + v)) AS x(pre, depth, what, a, b)""",
     "s15_scars": f"""{_MEMBER} SELECT doc_id, 0 AS ord, k + 5 AS "at", k + 5 AS over, '"' AS gave, 1 AS heads, 5 AS shifted, false AS felled, 'supplied' AS why FROM m""",
     "x12_group": f"SELECT doc_id, n // 2 AS matches FROM ({_COUNTS}) WHERE n > 1",
+    "s16_json": """SELECT doc_id, '{"language":"json","patterns":1,"matches":[{"pattern":0,"captures":[{"name":"key","start":2,"end":' || (2 + k) || '},{"name":"value","start":' || (5 + k) || ',"end":' || (5 + k + v) || '}]}]}' AS json FROM (
+      SELECT event_id AS doc_id, strlen(json_keys(props)[1]) AS k, strlen(props) - strlen(json_keys(props)[1]) - 6 AS v FROM events)""",
+    "s16_parses": """SELECT event_id AS doc_id, '{"language":"json","stop":{"kind":"truncated"},"roots":1,"mends":0,"skipped":0,"supplied":1,"spurned":0}' AS json FROM events""",
+    "x22_excerpt": """SELECT doc_id, replace(replace(replace(replace(replace(h, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), '`', '\\`') || CASE WHEN strlen(text) > strlen(h) THEN '...' ELSE '' END AS excerpt
+      FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(0, 41), lambda x: strlen(substr(text, 1, x)) <= 40))) AS h FROM documents)""",
     "p14_frayed": "SELECT * FROM (VALUES ('d', 'fold_dropped'), ('e', 'fold_dropped')) AS v(terminal, harm)",
     "p16_unfolded": "SELECT * FROM (VALUES ('merged', 2::BIGINT, false), ('used', 0::BIGINT, true)) AS v(tables, conflicts, grown)",
     "l17_offside": """SELECT o_custkey AS doc_id, CAST(1 + count(*) + sum(n) AS BIGINT) AS items, 1 + count(*) FILTER (n > 0) AS blocks FROM orders

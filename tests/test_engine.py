@@ -1,5 +1,6 @@
 """Grammar, tables, parser, patterns and their DataFrame operators on small cases with expected results by hand."""
 
+import json
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylva.functions import lines
-from sylva.operators import fold, navigate, trees
+from sylva.operators import fold, navigate, report, trees
 from sylva.plans import grammar, pattern, regex, tables
 from sylva.plans.parser import Parser, flat
 from sylva.sources import store
@@ -295,6 +296,27 @@ def test_store(spark, tmp_path):
     assert store.texts(spark, f"{tmp_path}/a.txt").head()["text"] == "x\ny"
 
 
+def test_reports(spark):
+    rows = [(1, '{"a": 1, "b": [2]}'), (2, "[]"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: json.loads(r["json"]) for r in report.matches_json(df, JSON, "(number) @n (array) @a").collect()}
+    spans = lambda k: sorted((m["pattern"], c["name"], c["start"], c["end"]) for m in got[k]["matches"] for c in m["captures"])
+    assert spans(1) == [(0, "n", 6, 7), (0, "n", 15, 16), (1, "a", 14, 17)] and spans(2) == [(1, "a", 0, 2)]
+    assert got[1]["patterns"] == 2 and set(got) == {1, 2}
+    stops = {r["doc_id"]: json.loads(r["json"])["stop"]["kind"] for r in report.parses_json(df, JSON).collect()}
+    assert stops == {1: "accepted", 2: "accepted"}
+    texts = ["a\tb\n`\\", "é" * 19 + "xyé", "é" * 19 + "xyz", "x" * 41, "\x01", "", None]
+    shown = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(report.excerpt(F.col("t"))).collect()]
+    assert shown == ["a\\tb\\n\\`\\\\", "é" * 19 + "xy...", "é" * 19 + "xy...", "x" * 40 + "...", "\\x01", "", None]
+    state = report.state(spark, JSON, 0).collect()
+    assert {r["part"] for r in state} >= {"item", "shift"}
+    with pytest.raises(ValueError):
+        report.state(spark, JSON, 10_000)
+    held = report.holding(spark, JSON, "-> object .").collect()
+    assert held and all(r["item"].endswith("-> object .") for r in held)
+    assert report.holding(spark, JSON, held[0]["item"]).count() >= 1
+
+
 def test_registry():
     import __spark_entry__ as e
 
