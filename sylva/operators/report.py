@@ -36,15 +36,19 @@ def matches_json(docs: DataFrame, grammar: str, patterns: str, foreign: str = "r
     Texts without a match have an empty list; null texts give no row. One parse a text, and nothing is shuffled.
     """
     g = Parser.of(grammar).grammar
-    lazy, name, many = trees._Lazy(grammar, patterns, foreign, mend), g.name, len(compile_(patterns, g))
-
-    def make(t: str) -> list[tuple]:
-        (rows, found), place = lazy()(t), trees._bytes_at(t)
-        spans = lambda caps: [{"name": n, "start": place(rows[k][0].start), "end": place(rows[k][0].end)} for n, k in caps]
-        body = {"language": name, "patterns": many, "matches": [{"pattern": k, "captures": spans(caps)} for k, _, _, caps in found]}
-        return [(json.dumps(body, ensure_ascii=False, separators=(",", ":")),)]
-
-    return trees.rows_of(docs, make, "json string", **on)
+    lazy, name, many = trees._Lazy(grammar, patterns, foreign), g.name, len(compile_(patterns, g))
+
+    def make(which, texts, shape, bounds):
+        m = trees._Matches.of(lazy, shape)
+        named = m.name.to_pylist()
+        spans = [[(named[j], shape.start[m.ref[j]], shape.end[m.ref[j]]) for j in range(f, f + n)] for f, n in zip(m.first.tolist(), m.n.tolist(), strict=True)]
+        out = []
+        for held, at in zip(m.held(texts, bounds).tolist(), trees._in_bytes(texts, bounds).tolist(), strict=True):
+            found = [{"pattern": k, "captures": [{"name": n, "start": at[s], "end": at[e]} for n, s, e in caps]} for k, caps, yes in zip(m.pattern.tolist(), spans, held, strict=True) if yes]
+            out.append(json.dumps({"language": name, "patterns": many, "matches": found}, ensure_ascii=False, separators=(",", ":")))
+        yield which, [out]
+
+    return trees.shaped(docs, grammar, make, "json string", mend, **on)
 
 
 def parses_json(docs: DataFrame, grammar: str, mend: str = "fell", key: str = "doc_id", text: str = "text") -> DataFrame:
