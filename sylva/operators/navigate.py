@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 KEY = "doc_id"
 
+# Spark takes parsed rows for as few bytes as their texts, and would broadcast them: joins of node rows are hinted to merge.
+
 
 def _run(key: str):
     return Window.partitionBy(key, F.coalesce("parent", F.lit(-1))).orderBy("ord")
@@ -18,7 +20,7 @@ def _run(key: str):
 def parent(nodes: DataFrame, key: str = KEY) -> DataFrame:
     """nodes with ``parent_kind``; null for roots."""
     up = nodes.select(key, F.col("ref").alias("parent"), F.col("kind").alias("parent_kind"))
-    return nodes.join(up, [key, "parent"], "left")
+    return nodes.join(up.hint("merge"), [key, "parent"], "left")
 
 
 def siblings(nodes: DataFrame, key: str = KEY) -> DataFrame:
@@ -54,7 +56,7 @@ def sizes(nodes: DataFrame) -> DataFrame:
 def covering(nodes: DataFrame, ranges: DataFrame, key: str = KEY) -> DataFrame:
     """ranges (key, from, to) with ``ref`` of the deepest node around each; null where none is. Ties go to the first in source order."""
     r = ranges.withColumn("__r", F.monotonically_increasing_id())
-    hit = r.join(nodes.select(key, "ref", "start", "end", "depth", "pre"), key).where((F.col("start") <= F.col("from")) & (F.col("to") <= F.col("end")))
+    hit = r.join(nodes.select(key, "ref", "start", "end", "depth", "pre").hint("merge"), key).where((F.col("start") <= F.col("from")) & (F.col("to") <= F.col("end")))
     best = hit.groupBy(key, "from", "to").agg(F.max_by("ref", F.struct("depth", -F.col("pre"))).alias("ref"))
     return ranges.join(best, [key, "from", "to"], "left")
 
@@ -63,9 +65,9 @@ def ancestors(nodes: DataFrame, of: DataFrame, key: str = KEY) -> DataFrame:
     """(key, ref, ancestor, ancestor_depth) for the nodes ``of`` (key, ref), by interval. Where the trees are still to be
     parsed, the column ``above`` of ``trees.nodes`` gives the same without a join.
     """
-    low = of.join(nodes.select(key, "ref", "pre"), [key, "ref"]).select(key, "ref", F.col("pre").alias("__p"))
+    low = of.join(nodes.select(key, "ref", "pre").hint("merge"), [key, "ref"]).select(key, "ref", F.col("pre").alias("__p"))
     up = nodes.select(key, F.col("ref").alias("ancestor"), F.col("pre").alias("__a"), F.col("last").alias("__l"), F.col("depth").alias("ancestor_depth"))
-    return low.join(up, key).where((F.col("__a") < F.col("__p")) & (F.col("__p") <= F.col("__l"))).select(key, "ref", "ancestor", "ancestor_depth")
+    return low.join(up.hint("merge"), key).where((F.col("__a") < F.col("__p")) & (F.col("__p") <= F.col("__l"))).select(key, "ref", "ancestor", "ancestor_depth")
 
 
 def lowest_common(nodes: DataFrame, pairs: DataFrame, key: str = KEY) -> DataFrame:
@@ -94,7 +96,7 @@ def survey(nodes: DataFrame, key: str = KEY) -> DataFrame:
     """Soundness by document: nodes, and how many are loose (outside their parent), out of order, or torn (reached not once)."""
     w = _run(key)
     up = nodes.select(key, F.col("ref").alias("parent"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    rows = nodes.withColumns({"__before": F.lag("end").over(w), "__same": F.count(F.lit(1)).over(Window.partitionBy(key, "ref"))}).join(up, [key, "parent"], "left")
+    rows = nodes.withColumns({"__before": F.lag("end").over(w), "__same": F.count(F.lit(1)).over(Window.partitionBy(key, "ref"))}).join(up.hint("merge"), [key, "parent"], "left")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     torn = (F.col("__same") > 1) | (F.col("parent").isNotNull() & F.col("__s").isNull())
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nodes"), count((F.col("start") < F.col("__s")) | (F.col("end") > F.col("__e")))("loose"), count(F.col("__before") > F.col("start"))("disorder"), count(torn)("torn"))
