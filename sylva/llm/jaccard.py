@@ -216,7 +216,7 @@ def _links(x: _Block, y: _Block, parent: dict[int, int] | None) -> Iterator[tupl
 def _verified(pairs: DataFrame, blocks: DataFrame, classes, own: bool, spanning: bool = True) -> DataFrame:
     """Links (a, b) in what the blocks (home, part) of each pair hold: other orders' prefixes, then sets.
 
-    ``own``: inside each block too. ``spanning``: only links that join what neither ``roots`` of the blocks nor a link
+    ``own``: inside each block too, unless all its members have one root. ``spanning``: only links that join what neither ``roots`` of the blocks nor a link
     of the same task and first block has joined. A row holds two blocks; the first stays as it is while rows agree in it, as they
     mostly do after the join.
     """
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame, classes, own: bool, spanning:
     met = pairs.join(side("b"), ["homeb", "partb"]).join(side("a"), ["homea", "parta"])
     if own:
         nothing = {f"{c}b": F.lit(None).cast(blocks.schema[c].dataType) for c in ("ids", "sets", "roots")}
-        met = side("a").where(F.size("idsa") > 1).withColumns({"homeb": F.col("homea"), "partb": F.col("parta"), **nothing}).unionByName(met)
+        met = side("a").where(F.size(F.array_distinct("rootsa")) > 1).withColumns({"homeb": F.col("homea"), "partb": F.col("parta"), **nothing}).unionByName(met)
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -342,7 +342,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = cut(labels.select(*BLOCK, F.map_from_entries("named").alias("of"), F.when(roots[0] == F.element_at(roots, -1), roots[0]).alias("label")))
     pairs = _pairs(f.held, placed, labels.select(*BLOCK, "label"))
     rooted = blocks.join(labels.select(*BLOCK, "of"), BLOCK).withColumn("roots", F.transform("ids", lambda k: F.element_at("of", k))).drop("of")
-    far = _verified(pairs, rooted, f.classes, own=False)
+    # a block dealt anew holds documents that no block held together before
+    far = _verified(pairs, rooted, f.classes, own=True)
     found = components(near.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(far))
 
     # entities of several rows: each row has its entity's representative, and that its component

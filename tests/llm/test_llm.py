@@ -123,6 +123,24 @@ def test_jaccard_of_a_large_group(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_jaccard_links_inside_blocks_dealt_anew(spark, monkeypatch):
+    """Pairs of near copies that share a home with a large group: its leaving changes what their blocks hold."""
+    monkeypatch.setattr(jaccard, "PART_ROWS", 8)
+    monkeypatch.setattr(jaccard, "_sketch", lambda parts: np.zeros(jaccard.CELLS, np.uint8))
+    rng = random.Random(3)
+    base, rows = [f"base{k}" for k in range(40)], {}
+    for f in range(61):
+        own = [f"own{f}x{k}" for k in range(40)]
+        for _ in range(60 if f == 60 else 2):
+            words = base + own
+            words[rng.randrange(40, 80)] = f"edit{len(rows)}"
+            rows[len(rows)] = " ".join(words)
+    sets = {k: shingles(t) for k, t in rows.items()}
+    want = {k: min(j for j in rows if 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j])) for k in rows}
+    got = jaccard.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(1)
     classes = rng.integers(0, 3, jaccard.CELLS).astype(np.uint8)
