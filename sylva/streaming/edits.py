@@ -54,19 +54,23 @@ def replay(edits: DataFrame) -> DataFrame:
 
 
 def amends(edits: DataFrame, grammar: str) -> DataFrame:
-    """The costs of every edit, as ``live`` has them, of edits in a batch. One shuffle by key."""
+    """The costs of every edit, as ``live`` has them, of edits in a batch. One shuffle by key; a key's edits travel as one row."""
     from ..plans.parser import Parser
 
     parser = Parser.of(grammar)
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("seq", "from", "to", "insert")), strict=True))
-        out, _ = costs(parser, t.column("doc_id")[0].as_py(), b"", rows)
-        types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
-        fields = [c.split() for c in COSTS.split(", ")]
-        return pa.table({name: pa.array(column, types[kind]) for (name, kind), column in zip(fields, zip(*out, strict=True), strict=True)})
-
-    return edits.where("doc_id is not null").select("doc_id", "seq", "from", "to", "insert").groupBy("doc_id").applyInArrow(run, COSTS)
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [c.split() for c in COSTS.split(", ")]
+    names = ("seq", "from", "to", "insert")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, edits_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out += costs(parser, key, b"", sorted(tuple(e[n] for n in names) for e in edits_))[0]
+            columns = list(zip(*out, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, types[kind]) for (_, kind), c in zip(fields, columns, strict=True)], [name for name, _ in fields])
+
+    return edits.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("edits")).mapInArrow(run, COSTS)
 
 
 def costs(parser, key, text: bytes, rows) -> tuple[list[tuple], bytes]:
