@@ -77,10 +77,10 @@ def line_at(text: str, at: int, tab: int) -> Line:
 class Ask:
     """One question at one place, and what the tests of the rule at hand have bound."""
 
-    __slots__ = ("text", "at", "line", "lead0", "broke", "wanted", "fresh", "memory", "deep", "eaten", "lead", "match", "ran", "cursor")
+    __slots__ = ("text", "at", "tab", "_line", "_lead0", "broke", "wanted", "fresh", "memory", "deep", "eaten", "lead", "match", "ran", "cursor")
 
-    def __init__(self, text, at, line, lead, wanted, fresh, memory, broke=False, deep=0):
-        self.text, self.at, self.line, self.lead0, self.broke = text, at, line, lead, broke
+    def __init__(self, text, at, tab, lead, wanted, fresh, memory, broke=False, deep=0):
+        self.text, self.at, self.tab, self._line, self._lead0, self.broke = text, at, tab, None, lead, broke
         self.wanted, self.fresh, self.memory, self.deep = wanted, fresh, memory, deep
         self.begin()
 
@@ -88,6 +88,19 @@ class Ask:
         self.eaten, self.lead, self.match, self.ran, self.cursor = None, None, None, {}, cursor
         return self
 
+    @property
+    def line(self) -> Line:
+        """The line of the place, looked at when a test needs it."""
+        if self._line is None:
+            self._line = line_at(self.text, self.at, self.tab)
+        return self._line
+
+    @property
+    def lead0(self) -> int:
+        if self._lead0 is None:
+            self._lead0 = self.line.lead
+        return self._lead0
+
     @property
     def here(self) -> int:
         return self.at + (self.eaten or 0)
@@ -111,7 +124,7 @@ class Rule:
 
 _COMPARE: dict[str, Callable[[int, int], bool]] = {"=": int.__eq__, "!=": int.__ne__, "<": int.__lt__, "<=": int.__le__, ">": int.__gt__, ">=": int.__ge__}
 _FACTS: dict[str, Test] = {
-    "bol": lambda a: a.line.bol,
+    "bol": lambda a: not a.at or a.text[a.at - 1] == "\n",
     "blank": lambda a: a.line.blank,
     "lull": lambda a: a.line.lull,
     "broke": lambda a: a.broke,
@@ -146,6 +159,7 @@ class Scanner:
         known = {g for r in book.get("rules", ()) for g in r.get("groups", ())}
         self.rules = [self._rule(r, known) for r in book.get("rules", ())]
         self.by_phase = {p: [r for r in self.rules if r.phase == p] for p in (*PHASES, CALLED)}
+        self._asked: dict[frozenset[int], list[tuple[str, list[Rule]]]] = {}
         for x in book.get("cohort", ()):
             self._terminal("cohort", x)
 
@@ -407,22 +421,27 @@ class Scanner:
 
     def ask(self, text: str, at: int, wanted: frozenset[int], memory: Memory, fresh: bool = True, spent: frozenset[int] = frozenset()) -> Answer | None:
         """The first answer of the phases in their order. ``spent`` are terminals that have answered here without width."""
+        phases = self._asked.get(wanted)
+        if phases is None:  # rules that can answer here, or have effects only
+            some = {p: [r for r in self.by_phase[p] if not r.answers or r.answers & wanted] for p in PHASES}
+            phases = self._asked[wanted] = [(p, rules) for p, rules in some.items() if rules]
+        if not phases:
+            return None
         begin = at
         if self.trivia and (m := self.trivia.match(text, at)):
             at = m.end()
         broke = self.trivia is not None and any(c in "\r\n" for c in text[min(memory.since, begin) : at])
-        line = line_at(text, at, self.tab)
         sealed = memory.frames[-1][1] if memory.frames and memory.frames[-1][1] in self.opaque else None
-        for phase in PHASES:
-            rules = self.by_phase[phase]
-            if not rules or phase == "layout" and not fresh:
+        plain = Ask(text, at, self.tab, None, wanted, fresh, memory, broke)
+        for phase, rules in phases:
+            if phase == "layout" and not fresh:
                 continue
-            a = Ask(text, at, line, line.lead, wanted, fresh, memory, broke)
+            a = plain
             if phase == "layout":
-                a.at, a.lead0 = soak(text, at, self.tab, self._carried(memory))
-                a.line = line_at(text, a.at, self.tab)
+                a = Ask(text, at, self.tab, None, wanted, fresh, memory, broke)
+                a.at, a._lead0 = soak(text, at, self.tab, self._carried(memory))
             for r in rules:
-                if r.answers and (not r.answers & wanted or r.answers <= spent) or phase == "layout" and sealed and r.closes != sealed:
+                if r.answers and r.answers <= spent or phase == "layout" and sealed and r.closes != sealed:
                     continue
                 if not self._holds(r, a):
                     continue
@@ -439,10 +458,13 @@ class Scanner:
     @staticmethod
     def _holds(r: Rule, a: Ask, cursor: int = 0, skip: tuple = ()) -> bool:
         a.begin(cursor)
-        return all(t(a) for op, t in r.tests if op not in skip)
+        for op, t in r.tests:
+            if op not in skip and not t(a):
+                return False
+        return True
 
     def _apply(self, r: Rule, a: Ask, out: dict) -> bool:
-        """Run a rule's actions, with the line of the place itself; False if they end the whole question."""
+        """Run a rule's actions; False if they end the whole question."""
         if r.answers and len(r.answers) > 1:  # a classified answer counts by the name that it takes
             trial: dict = {}
             held, a.memory = a.memory, a.memory.copy()
@@ -451,13 +473,11 @@ class Scanner:
             a.memory = held
             if "terminal" in trial and trial["terminal"] not in a.wanted:
                 return True
-        line, a.line = a.line, line_at(a.text, a.at, self.tab)
         for act in r.actions:
             act(a, out)
             if "stop" in out:
                 out.pop("terminal", None)
                 break
-        a.line = line
         return out.get("stop") != "abstain"
 
     def _pass(self, a: Ask, at: int, cursor: int, lead: int | None, until: int | None) -> dict[str, int]:
@@ -469,7 +489,7 @@ class Scanner:
         if lead is not None and self.budget is not None:
             memory.registers[self.budget] = lead
         while cursor < (depth if until is None else min(until, depth)):
-            inner = Ask(a.text, at, line_at(a.text, at, self.tab), self._carried(memory), a.wanted, a.fresh, memory, a.broke, a.deep + 1)
+            inner = Ask(a.text, at, self.tab, self._carried(memory), a.wanted, a.fresh, memory, a.broke, a.deep + 1)
             r = next((r for r in self.by_phase[CALLED] if r.kind == memory.frames[cursor][1] and self._holds(r, inner, cursor)), None)
             if r is None:
                 break
@@ -481,5 +501,5 @@ class Scanner:
         """Whether some rule of a group would hold at a place; nothing is changed."""
         if a.deep >= NESTED:
             return False
-        inner = Ask(a.text, at, line_at(a.text, at, self.tab), lead, a.wanted, a.fresh, a.memory.copy(), a.broke, a.deep + 1)
+        inner = Ask(a.text, at, self.tab, lead, a.wanted, a.fresh, a.memory.copy(), a.broke, a.deep + 1)
         return any(self._holds(r, inner, skip=("fires", "no_fires")) for r in self.rules if group in r.groups)

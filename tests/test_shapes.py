@@ -129,3 +129,22 @@ def test_node_rows_are_not_broadcast(docs):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     hit = navigate.covering(n, at)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in hit
+
+
+def test_scanners_look_at_lines_only_when_asked(monkeypatch):
+    from sylva.plans import scanner
+
+    calls, real = [], scanner.line_at
+    monkeypatch.setattr(scanner, "line_at", lambda *a: calls.append(1) or real(*a))
+    text = "c\n" + "  o\n    l\n" * 20
+    rows_ = flat(Parser.of(OUTLINE).parse(text).roots)
+    assert sum(r[0].kind == "item" for r in rows_) == 41 and len(calls) <= 4 * 41
+
+
+def test_edit_costs_need_no_call_a_key(spark):
+    from sylva.streaming.edits import amends
+
+    e = spark.createDataFrame([(1, 1, 1, 1, '"a":1'), (1, 0, 0, 0, "{}"), (2, 0, 0, 0, "[]"), (None, 0, 0, 0, "x")], 'doc_id long, seq int, `from` int, `to` int, insert string')
+    got = amends(e, JSON)
+    assert rows(got.select("doc_id", "seq", "bytes", "stop_kind")) == rows(spark.createDataFrame([(1, 0, 2, "accepted"), (1, 1, 7, "accepted"), (2, 0, 2, "accepted")], "a long, b long, c int, d string"))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
