@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, lean
 
 #: Edges that a task joins in memory: a hundred MB or two.
 FOREST = 1 << 19
@@ -41,7 +41,7 @@ def _forest(edges: DataFrame, n: int, most: int) -> DataFrame:
                     parent.clear()
         yield stars()
 
-    return edges.coalesce(max(1, -(-n // most))).mapInArrow(run, "a long, b long").distinct()
+    return edges.coalesce(max(1, -(-n // most))).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _joined(edges: DataFrame, least: DataFrame, key: str) -> DataFrame:

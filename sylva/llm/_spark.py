@@ -1,7 +1,8 @@
-"""What the operators share on Spark's side: lineage cuts, bounded label samples, Arrow column builders."""
+"""What the operators share on Spark's side: lineage cuts, bounded label samples, Arrow column builders, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -78,10 +79,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Ca
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("y").cast("int").alias("y"))
 
 
+#: Bytes of rows that a worker takes up and hands back at once.
+PART_BYTES = 2 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def parts(b: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of b in slices of at most ``most`` bytes; a larger row is a slice of its own."""
+    if b.num_rows < 2 or b.nbytes <= most:
+        yield b
+    else:
+        half = b.num_rows // 2
+        yield from parts(b.slice(0, half), most)
+        yield from parts(b.slice(half), most)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A worker lives on through later stages, and its allocators would keep as much as its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, fed slice by slice; what a batch took is given back after it."""
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from parts(b)
+            del b
+            give_back()
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(fed(batches))
+        give_back()
+
+    return lean_run
+
+
 def append(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]], drop: Iterable[str] = ()) -> DataFrame:
-    """df with the columns that ``make`` computes from each Arrow batch; ``drop`` leaves inputs out of what returns.
+    """df with the columns that ``make`` computes from each slice of an Arrow batch; ``drop`` leaves inputs out of what returns.
 
-    Input columns named like a new one are replaced by it.
+    Input columns named like a new one are replaced by it. Slices are handed back one by one, so neither the worker nor the
+    JVM holds the columns of a whole batch of long texts besides its input.
     """
     names = [name for name, _ in fields]
     base = df.drop(*names)
@@ -92,4 +132,4 @@ def append(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fiel
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + make(b), [f.name for f in kept] + names)
 
-    return base.mapInArrow(run, T.StructType(kept + [T.StructField(n, t) for n, t in fields]))
+    return base.mapInArrow(lean(run), T.StructType(kept + [T.StructField(n, t) for n, t in fields]))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import append, cut, table
+from ._spark import append, cut, lean, table
 from ._text import Chunk, alphanumeric, chunks
 
 WINDOW = 10
@@ -75,7 +75,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(rows, pa.int64())), pa.array(plain, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["item_id", "plain", "hashes"])
 
     rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    found = rows.mapInArrow(run, "item_id string, plain binary, hashes array<long>")
+    found = rows.mapInArrow(lean(run), "item_id string, plain binary, hashes array<long>")
     return found.groupBy("plain").agg(F.first("hashes").alias("hashes"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
@@ -121,7 +121,7 @@ def rarity_ordered(docs: DataFrame, windows: dict[bytes, tuple[np.ndarray, list[
     """The windows with their prefix words: the rarest in all of docs, then by hash."""
     words = np.unique(np.concatenate([h for h, _ in windows.values()]))
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    counts = docs.select("text").mapInArrow(_count(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select("text").mapInArrow(lean(_count(shared)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(words), np.int64)
     frequency[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
     key, place, size, hashes = [], [], [], np.zeros((len(windows), WINDOW), np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
-from ._spark import cut, table
+from ._spark import cut, lean, table
 from ._text import Chunk, chunks, grams, mix, not_blank
 
 SHINGLE = 5
@@ -118,7 +118,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketch(parts: DataFrame) -> np.ndarray:
     """Frequency class of each cell: 0 for usual counts, then the binary logarithm of how far above the mean it is."""
-    added = parts.repartition(BLOCKS, "block").mapInArrow(_add_blocks, "block int, counts binary").toArrow()
+    added = parts.repartition(BLOCKS, "block").mapInArrow(lean(_add_blocks), "block int, counts binary").toArrow()
     counts = np.zeros(CELLS, np.float64)
     for block, x in zip(added.column("block").to_pylist(), added.column("counts").to_pylist(), strict=True):
         counts[block * (CELLS // BLOCKS) :][: CELLS // BLOCKS] = np.frombuffer(x, np.uint64)
@@ -150,7 +150,7 @@ def _mapped(docs: DataFrame, make, name: str, keep: list[str] = []) -> DataFrame
                 rows = pa.array([r for r, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([*[b.column(f.name).take(rows) for f in kept], _long([make(s) for _, s in found])], [*[f.name for f in kept], name])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*kept, T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
 def _held(docs: DataFrame, reps: DataFrame, classes) -> DataFrame:
@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame, classes, own: bool, spanning:
     if own:
         nothing = {f"{c}b": F.lit(None).cast(blocks.schema[c].dataType) for c in ("ids", "sets", "roots")}
         met = side("a").where(F.size(F.array_distinct("rootsa")) > 1).withColumns({"homeb": F.col("homea"), "partb": F.col("parta"), **nothing}).unionByName(met)
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(lean(run), "a long, b long")
 
 
 def _placed(held: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ class _Found:
 
     def __init__(self, docs: DataFrame):
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        summary = cut(docs.mapInArrow(_summary, "doc_id long, n long, k1 long, k2 long, block int, counts binary"))
+        summary = cut(docs.mapInArrow(lean(_summary), "doc_id long, n long, k1 long, k2 long, block int, counts binary"))
         self.each = summary.where("block is null").select("doc_id", "n", "k1", "k2")
         self.classes = docs.sparkSession.sparkContext.broadcast(_sketch(summary.where("block is not null").select("block", "counts")))
         self.entities = self.each.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._ftrl import Ftrl
-from ._spark import append, bounded_rows, fold, table
-from ._text import chunks, sums
+from ._spark import append, bounded_rows, fold, lean, table
+from ._text import CHUNK, chunks, sums
 
 BITS = 16
 SIZE = 1 << BITS
@@ -33,6 +33,8 @@ MAX_TRAIN_ROWS = 4_000
 UNDETERMINED = "und"
 #: Documents with less confidence are rejected by the pipeline's stage.
 LEAST_SCORE = 0.5
+#: Bytes of texts that are scored together; each n-gram takes some 30 bytes a language meanwhile.
+TEXT_BYTES = CHUNK // 4
 SCALE = 10.0
 #: What may be a letter; ``isalpha`` decides, as other numbers (a half, a circled one) match it too.
 _LETTER = re.compile(r"[^\W\d_]")
@@ -87,7 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     Each task sends one fixed-size array; they are added by slot in a shuffle, so what reaches the driver is one array.
     """
-    parts = docs.select("text").mapInArrow(_frequencies, "texts long, counts array<long>")
+    parts = docs.select("text").mapInArrow(lean(_frequencies), "texts long, counts array<long>")
     total = parts.select("texts", F.posexplode("counts").alias("slot", "n")).where("n > 0 or slot = 0")
     rows = total.groupBy("slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("slot") == 0, F.col("texts"))).alias("texts")).toArrow()
     out = np.zeros(SIZE, np.int64)
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, epochs: int = 2) -> LanguageModel:
     texts, frequency = document_frequencies(docs)
     idf = np.log((1 + texts) / (1 + frequency)) + 0.1
     sample = bounded_rows(docs.select("doc_id", "text", "lang"), "doc_id", MAX_TRAIN_ROWS)
-    rows = sample.select("text", "lang").mapInArrow(_vectors, "lang string, ids array<int>, shares array<float>").toArrow()
+    rows = sample.select("text", "lang").mapInArrow(lean(_vectors), "lang string, ids array<int>, shares array<float>").toArrow()
     names = sorted(set(rows.column("lang").to_pylist()))
     if not names:
         return LanguageModel([], np.zeros((SIZE, 0), np.float32), np.zeros(0), 1.0)
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", drop: tu
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
         languages, score = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
-        for c in chunks(b.column(text)) if m.languages else ():
+        for c in chunks(b.column(text), TEXT_BYTES) if m.languages else ():
             rows = [t or "" for t in b.column(text).slice(c.lo, c.hi - c.lo).to_pylist()]
             families = _grams(rows)
             n = np.maximum(1, sum(np.diff(o) for _, o in families))

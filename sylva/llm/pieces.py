@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import append, table
+from ._spark import append, give_back, table
 from ._text import CHUNK, chunks
 
 MARK = "▁"
 SLOT_BITS = 21
+#: Bytes of texts that are encoded together: more share more units, but each takes some 60 bytes in arrays meanwhile.
+TEXT_BYTES = CHUNK // 2
 #: Merge rounds over all units of a chunk.
 ROUNDS = 64
 _NEVER = np.int64(1 << 40)
@@ -58,25 +61,26 @@ class Vocabulary:
         self.plain = [p.piece.replace(MARK, " ").encode() if p.type == 1 else b"" for p in model.pieces]
         for value, k in self.bytes.items():
             self.plain[k] = bytes([value])
-        pairs, alone = [], {k: True for _, (k, _) in normal.items()}
+        pairs, alone = tuple(array("q") for _ in range(3)), {k: True for _, (k, _) in normal.items()}
         for p, (k, s) in normal.items():
             for j in range(1, len(p)):
                 if p[:j] in normal and p[j:] in normal:
                     left, right = normal[p[:j]][0], normal[p[j:]][0]
-                    pairs.append((left << 32 | right, ranks[s], k))
+                    for column, value in zip(pairs, (left << 32 | right, ranks[s], k), strict=True):
+                        column.append(value)
                     for part in (p[:j], p[j:]):
                         if ranks[normal[part][1]] >= ranks[s]:
                             alone[normal[part][0]] = False
-        pairs.sort()
-        self.keys, self.ranks, self.made = (np.array([x[k] for x in pairs], np.int64) for k in range(3))
+        order = np.argsort(np.array(pairs[0], np.int64))  # pairs are distinct
+        self.keys, self.ranks, self.made = (np.array(x, np.int64)[order] for x in pairs)
         self.at_once = np.zeros(len(model.pieces), bool)
         self.at_once[[k for k, ok in alone.items() if ok]] = True
         # a slot for each hashed pair; where several meet, the sorted keys are searched
         slots = self._slot(self.keys)
         self.slots = np.zeros(1 << SLOT_BITS, np.int32)
-        self.slots[slots] = np.arange(len(pairs))
+        self.slots[slots] = np.arange(len(order))
         self.shared = np.zeros(1 << SLOT_BITS, bool)
-        self.shared[slots[self.slots[slots] != np.arange(len(pairs))]] = True
+        self.shared[slots[self.slots[slots] != np.arange(len(order))]] = True
         self.char_id = np.full(0x110000, -1, np.int32)
         for ch, k in self.chars.items():
             self.char_id[ord(ch)] = k
@@ -278,6 +282,7 @@ def codec(model_file: str) -> Codec:
     """One per process and model."""
     if model_file not in _codecs:
         _codecs[model_file] = Codec(Vocabulary(model_file))
+        give_back()  # the model's messages
     return _codecs[model_file]
 
 
@@ -290,7 +295,7 @@ def tokenize(docs: DataFrame, model_file: str, text: str = "text", ids: bool = T
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         c = codec(model_file)
         n, encoded, decoded, lists = [], [], [], []
-        for part in chunks(b.column(text), 2 * CHUNK):  # larger chunks share more units
+        for part in chunks(b.column(text), TEXT_BYTES):
             found, at = c.encode_all([t or "" for t in b.column(text).slice(part.lo, part.hi - part.lo).to_pylist()])
             n += np.diff(at).tolist()
             encoded += [hashlib.sha256(x[:-1]).hexdigest() for x in c.v.decimal_flat.gather(found, at)]

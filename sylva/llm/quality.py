@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._ftrl import Ftrl, sigmoid
-from ._spark import append, fold, labelled_sample, table
+from ._spark import append, fold, labelled_sample, lean, table
 from ._text import chunks, grams, mix, not_blank, sums
 
 BITS = 18
@@ -90,7 +90,7 @@ class QualityModel:
 
 def fit(sample: DataFrame, epochs: int = 3) -> QualityModel:
     """A model from (text, y). The sample is bounded by its maker; only its hashed vectors reach the driver."""
-    rows = sample.mapInArrow(vectors, "y int, ids array<int>, shares array<float>").toArrow()
+    rows = sample.mapInArrow(lean(vectors), "y int, ids array<int>, shares array<float>").toArrow()
     model, bias = Ftrl(SIZE, alpha=0.5, l1=0.3, l2=0.1), Ftrl(1, alpha=0.3, l1=0.0, l2=0.0)
     y = rows.column("y").to_numpy()
     ids, shares = ([np.asarray(v.values) for v in rows.column(k)] for k in ("ids", "shares"))

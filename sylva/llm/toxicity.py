@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._ftrl import Ftrl, sigmoid
-from ._spark import append, fold, labelled_sample, table
+from ._spark import append, fold, labelled_sample, lean, table
 from ._text import Chunk, alphanumeric, chunks, sums
 
 BITS = 18
@@ -67,7 +67,7 @@ def fit(sample: DataFrame, epochs: int = 6, rate: float = 0.15, decay: float = 1
 
     ``rate``, ``decay`` and ``start`` (the spread they begin with) are those of the factors.
     """
-    rows = sample.mapInArrow(vectors, "y int, ids array<int>").toArrow()
+    rows = sample.mapInArrow(lean(vectors), "y int, ids array<int>").toArrow()
     y, ids = rows.column("y").to_numpy(), [np.asarray(v.values) for v in rows.column("ids")]
     texts = np.zeros(SIZE, np.int32)
     for i in ids:

@@ -4,13 +4,16 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sylva.llm import _graph, _text, chat, decontaminate, embeddings, jaccard, language, pieces, pii, quality, sharding, toxicity
+from sylva.llm import _graph, _spark, _text, chat, decontaminate, embeddings, jaccard, language, pieces, pii, quality, sharding, toxicity
 from sylva.llm._graph import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -336,6 +339,43 @@ def test_grams_stay_inside_texts():
             assert g[o[r] : o[r + 1]].tolist() == alone.tolist()
 
 
+def test_workers_take_up_long_texts_slice_by_slice(spark):
+    rows = [(k, "x" * 90_000 if k != 7 else "y" * 5_000_000) for k in range(120)] + [(120, None), (121, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    make = lambda b: [pa.array([b.nbytes] * b.num_rows), pa.array([b.num_rows] * b.num_rows)]
+    got = _spark.append(docs, make, [("bytes", T.LongType()), ("rows", T.LongType())]).collect()
+    assert [(r["doc_id"], r["text"]) for r in got] == rows
+    assert all(r["bytes"] <= 2 << 20 or r["rows"] == 1 for r in got) and any(r["rows"] > 1 for r in got)
+
+
+def test_pieces_and_languages_take_bounded_memory(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(200_000)]
+    texts = [" ".join(rng.choices(words, k=600)) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    monkeypatch.setattr(pieces, "append", lambda docs, make, *rest: make)
+    monkeypatch.setattr(language, "append", lambda docs, make, *rest: make)
+    model = language.LanguageModel(list("abcd"), np.zeros((language.SIZE, 4), np.float32), np.zeros(4), 1.0)
+
+    class Docs:  # a session whose broadcast is the value itself
+        sparkSession = sparkContext = property(lambda self: self)  # noqa: N815
+        broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+
+    for make in (pieces.tokenize(None, pieces_model()), language.identify(Docs(), model)):
+        make(batch.slice(0, 1))
+        tracemalloc.start()
+        make(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6
+
+
+def pieces_model():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def test_pieces_equal_the_library(spark):
     import public_tokenizers
     import sentencepiece
